@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from guardlake.llm import decontaminate, media, packing
+from guardlake.llm import decontaminate, media, packing, pii, warc
 from guardlake.llm.common import table
 
 
@@ -12,6 +12,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_digests(table(spark, sf_dir, "pages"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,7 +29,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_packing": op2_packing, "op9_decontamination": op9_decontamination, "op10_media_columns": op10_media_columns}
+    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op4_pii": op4_pii, "op9_decontamination": op9_decontamination, "op10_media_columns": op10_media_columns}
 
 
 def oracle_sql() -> dict[str, str]:
