@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from guardlake.llm import decontaminate, media, packing, pii, warc
+from guardlake.llm import decontaminate, line_dedup, media, packing, pii, substring_dedup, warc
 from guardlake.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -20,6 +24,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_spans(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed", "sources")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,8 +37,16 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_packing": op2_packing, "op3_warc": op3_warc, "op4_pii": op4_pii, "op9_decontamination": op9_decontamination, "op10_media_columns": op10_media_columns}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op2_packing": op2_packing,
+        "op3_warc": op3_warc,
+        "op4_pii": op4_pii,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op9_decontamination": op9_decontamination,
+        "op10_media_columns": op10_media_columns,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": line_dedup.oracle_sql()}
