@@ -10,8 +10,10 @@ the shuffle, inside the task that packs them.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,10 @@ SEQ_LEN = 2048
 END_ID = 1
 DIMS, BITS = 4, 12
 BUCKETS = 1 << 12
-#: Pieces of the pre-tokeniser: the public byte-level pattern, a fixed value of the vocabulary.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces a worker's cache may hold, and the longest that it holds.
-CACHE_PIECES, CACHE_LENGTH = 400_000, 64
+#: Words a worker's cache may hold, and the longest that it holds.
+CACHE_WORDS, LONG_WORD = 1_000_000, 64
+#: Words that one call to the library encodes.
+LEARN_WORDS = 2_000
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -92,42 +94,63 @@ def _add_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()), pa.array(curve_keys(texts) if texts else [], pa.int64())], ["doc_id", "text", "key"])
 
 
+def _single_spaced(text: str) -> bool:
+    """Whether words are parted by single blanks and line ends alone, with none around."""
+    flat = text.replace("\n", " ")
+    return flat == " ".join(flat.split())
+
+
 class Encoder:
     """ids of a text by the `tokenizers` library, as little-endian 16-bit bytes.
 
-    The library works on each pre-tokeniser piece alone, so pieces are encoded once and remembered;
-    the pattern is checked against the library's own splits by the tests.
+    The library's pre-tokeniser ends a piece before every white space, so in a text whose words are parted by
+    single blanks or line ends each word with the blank before it can be encoded alone. Such words
+    are encoded once, many in one call, and remembered; texts with other white space go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
-        import regex
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel unit
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
-        self.split = regex.compile(PIECES).findall
+        self.line_end = np.array(self._ids("\n"), "<u2")
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return {p: np.array(f.ids, "<u2").tobytes() for p, f in zip(pieces, found, strict=True)}
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words, each a line of one text, and cut the ids at the line ends. A word with a leading line
+        end stands for itself, any other for itself after a blank."""
+        ids = np.array(self._ids("\n".join(w[1:] if w[0] == "\n" else " " + w for w in words)), "<u2")
+        cuts = np.flatnonzero(ids == self.line_end[0]).tolist()
+        raw, head, start = ids.tobytes(), self.line_end.tobytes(), 0
+        for w, end in zip(words, [*cuts, len(ids)], strict=True):
+            self.known[w] = (head if w[0] == "\n" else b"") + raw[2 * start : 2 * end]
+            start = end + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
+        plain = [i for i, t in enumerate(texts) if t and _single_spaced(t)]
+        words = [("\n" + texts[i]).replace("\n", " \n").split(" ")[1:] for i in plain]
         known = self.known
-        new = list(set().union(*split) - known.keys()) if split else []
-        if new:
-            if len(known) + len(new) > CACHE_PIECES:
-                known.clear()
-                new = list(set().union(*split))
-            fresh = self._learn(new)
-            known.update(fresh)
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        for p in new:
-            if len(p) > CACHE_LENGTH:
-                del known[p]
+        new = list(set().union(*words).difference(known))
+        if len(known) + len(new) > CACHE_WORDS:  # what came first is what comes often
+            self.known = known = dict(islice(known.items(), CACHE_WORDS // 2))
+            new = list(set().union(*words).difference(known))
+        for lo in range(0, len(new), LEARN_WORDS):
+            self._learn(new[lo : lo + LEARN_WORDS])
+        out = [b""] * len(texts)
+        for i, w in zip(plain, words, strict=True):
+            out[i] = b"".join(map(known.__getitem__, w))[2:]  # without the line end put before the first word
+        for i, t in enumerate(texts):
+            if t and not out[i]:
+                out[i] = np.array(self._ids(t), "<u2").tobytes()
+        for w in new:
+            if len(w) > LONG_WORD:
+                del known[w]
         return out
 
 
