@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from guardlake.llm import decontaminate, line_dedup, media, packing, pii, substring_dedup, warc
+from guardlake.llm import decontaminate, line_dedup, media, near_dedup, packing, pii, substring_dedup, warc
 from guardlake.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_spans(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed", "sources")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +47,7 @@ def queries() -> dict:
         "op3_warc": op3_warc,
         "op4_pii": op4_pii,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_near_dedup": op7_near_dedup,
         "op9_decontamination": op9_decontamination,
         "op10_media_columns": op10_media_columns,
     }
