@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from guardlake.llm import decontaminate, line_dedup, media, near_dedup, packing, pii, substring_dedup, warc
+from guardlake.llm import decontaminate, langid, line_dedup, media, near_dedup, packing, pii, quality, substring_dedup, warc
 from guardlake.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_spans(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed", "sources")
 
@@ -32,6 +36,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,8 +54,10 @@ def queries() -> dict:
         "op2_packing": op2_packing,
         "op3_warc": op3_warc,
         "op4_pii": op4_pii,
+        "op5_quality": op5_quality,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_near_dedup": op7_near_dedup,
+        "op8_language_id": op8_language_id,
         "op9_decontamination": op9_decontamination,
         "op10_media_columns": op10_media_columns,
     }
