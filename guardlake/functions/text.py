@@ -54,11 +54,16 @@ def fold_confusables(text: Column) -> Column:
     return F.translate(F.coalesce(_nfkc(odd), text), CONFUSABLE, PLAIN)
 
 
+def plain_base64(data: Column) -> Column:
+    """Base64 without line breaks, whatever the session's setting for them."""
+    return F.regexp_replace(F.base64(data), "[\r\n]", "")
+
+
 def decode_segments(text: Column) -> Column:
     """What base64 runs of 20 characters or more hide, joined by blanks: strict, valid UTF-8 without control
     characters, eight bytes at least."""
     runs = F.regexp_extract_all(text, F.lit("[A-Za-z0-9+/]{20,}={0,2}"), 0)
-    strict = F.filter(runs, lambda m: (F.length(m) % 4 == 0) & (F.base64(F.try_to_binary(m, F.lit("base64"))) == m))
+    strict = F.filter(runs, lambda m: (F.length(m) % 4 == 0) & (plain_base64(F.try_to_binary(m, F.lit("base64"))) == m))
     plain = F.transform(strict, lambda m: F.try_validate_utf8(F.unbase64(m).cast("string")))
     return F.array_join(F.filter(plain, lambda t: (F.octet_length(t) >= 8) & ~t.rlike(r"[\p{Cc}&&[^\n\t]]")), " ")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guardlake.functions.text import owasp
+from guardlake.functions.text import owasp, plain_base64
 
 # The public OWASP list for LLM applications, 2025.
 OWASP_TOP10 = (
@@ -127,7 +127,7 @@ def to_zero_width(text: Column) -> Column:
 
 
 def to_base64(text: Column) -> Column:
-    return F.base64(F.encode(text, "UTF-8"))
+    return plain_base64(F.encode(text, "UTF-8"))
 
 
 def obfuscate(labelled: DataFrame, how) -> DataFrame:
