@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -28,7 +29,7 @@ END_ID = 1
 DIMS, BITS = 4, 12
 BUCKETS = 1 << 12
 #: Words a worker's cache may hold, and the longest that it holds.
-CACHE_WORDS, LONG_WORD = 1_000_000, 64
+CACHE_WORDS, LONG_WORD = 400_000, 64
 #: Words that one call to the library encodes.
 LEARN_WORDS = 2_000
 
@@ -117,20 +118,46 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         self.line_end = np.array(self._ids("\n"), "<u2")
+        self.marks = {m: np.array(self._ids(m), "<u2").tobytes() for m in ".,;:!?"}
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words, each a line of one text, and cut the ids at the line ends. A word with a leading line
-        end stands for itself, any other for itself after a blank."""
-        ids = np.array(self._ids("\n".join(w[1:] if w[0] == "\n" else " " + w for w in words)), "<u2")
-        cuts = np.flatnonzero(ids == self.line_end[0]).tolist()
-        raw, head, start = ids.tobytes(), self.line_end.tobytes(), 0
-        for w, end in zip(words, [*cuts, len(ids)], strict=True):
-            self.known[w] = (head if w[0] == "\n" else b"") + raw[2 * start : 2 * end]
-            start = end + 1
+        """Encode words. A word with a leading line end stands for itself, any other for itself after a blank.
+
+        A mark after a letter is a piece of its own, so a word that is known without its last mark is not
+        encoded again. Words of ASCII letters are one piece and go straight to the model; the others are
+        lines of one text, whose ids are cut at the line ends.
+        """
+        known, marks, others = self.known, self.marks, []
+        for w in words:
+            stem, mark = w[:-1], marks.get(w[-1])
+            if mark is not None and stem and stem[-1].isalpha():
+                if stem not in known and not self._one_piece(stem):
+                    others.append(stem)
+                continue
+            if not self._one_piece(w):
+                others.append(w)
+        for lo in range(0, len(others), LEARN_WORDS):
+            part = others[lo : lo + LEARN_WORDS]
+            ids = np.array(self._ids("\n".join(w[1:] if w[0] == "\n" else " " + w for w in part)), "<u2")
+            cuts = np.flatnonzero(ids == self.line_end[0]).tolist()
+            raw, head, start = ids.tobytes(), self.line_end.tobytes(), 0
+            for w, end in zip(part, [*cuts, len(ids)], strict=True):
+                known[w] = (head if w[0] == "\n" else b"") + raw[2 * start : 2 * end]
+                start = end + 1
+        for w in words:
+            if w not in known:
+                known[w] = known[w[:-1]] + marks[w[-1]]
+
+    def _one_piece(self, word: str) -> bool:
+        """Learn a word of ASCII letters by the model alone."""
+        if not (word.isascii() and word.isalpha()):
+            return False
+        self.known[word] = array("H", [t.id for t in self.tokenizer.model.tokenize("\u0120" + word)]).tobytes()
+        return True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [i for i, t in enumerate(texts) if t and _single_spaced(t)]
@@ -140,8 +167,8 @@ class Encoder:
         if len(known) + len(new) > CACHE_WORDS:  # what came first is what comes often
             self.known = known = dict(islice(known.items(), CACHE_WORDS // 2))
             new = list(set().union(*words).difference(known))
-        for lo in range(0, len(new), LEARN_WORDS):
-            self._learn(new[lo : lo + LEARN_WORDS])
+        if new:
+            self._learn(new)
         out = [b""] * len(texts)
         for i, w in zip(plain, words, strict=True):
             out[i] = b"".join(map(known.__getitem__, w))[2:]  # without the line end put before the first word
@@ -150,7 +177,7 @@ class Encoder:
                 out[i] = np.array(self._ids(t), "<u2").tobytes()
         for w in new:
             if len(w) > LONG_WORD:
-                del known[w]
+                known.pop(w, None)
         return out
 
 
