@@ -3,13 +3,16 @@
 1. Every document gets its set of word shingles (64-bit hashes), the set's 128-bit digest, a MinHash
    signature in bands and a sketch of one-bit MinHashes. Documents with equal sets form one class, and only
    one representative of a class goes on.
-2. Representatives that share a band are candidates. First each is paired with the smallest one of each of
-   its bands (a star: linear in the band's size), which joins large groups of copies without forming their pairs.
+2. Representatives that share a band are candidates. For members of big bands it is counted how many of their
+   shingles no other such member has (linear: one aggregate over shingles); this bounds what they can share. Every
+   representative is paired with one lead of its bands, the one with the fewest shingles of its own, which joins large
+   groups of copies without forming their pairs.
 3. A pair's sketches are compared batch by batch; it is dropped as soon as the posterior probability of
-   reaching the threshold falls below MISS. Survivors are verified exactly on their whole sets.
+   reaching the threshold falls below MISS, or if the bound excludes it. Survivors are verified exactly on their
+   whole sets.
 4. Components of verified links. Where a band still holds several components, each member outside the
-   component of the band's first is compared with the members of the others, by the same
-   test inside the join; nothing is capped. What survives is verified, and components are final.
+   component of the band's lead is compared with the members of the others, by the same
+   tests inside the join; nothing is capped. What survives is verified, and components are final.
 
 Only lost: links that share no band (for the default 48 bands of 8: below 3e-7 at the threshold) and links that the
 posterior bound drops.
@@ -32,6 +35,10 @@ SHINGLE, PERCENT = 5, 80
 SKETCH_LONGS = 4
 #: Posterior probability of similarity at the threshold below which a pair is dropped.
 MISS = 1e-6
+#: Bands with more members count as big: their members' own shingles are counted before any pair is formed.
+BIG = 32
+#: Ids (8 bytes each) up to which a set of them is broadcast.
+BROADCAST_IDS = 2_000_000
 #: Stand-in for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -121,11 +128,14 @@ def most_different(percent: int, miss: float = MISS) -> tuple[int, ...]:
 
 
 def _plausible(a: str, b: str, percent: int) -> Column:
-    """The sequential test of the pair of aliased rows, and that their sizes allow the threshold."""
+    """The sequential test of the pair of aliased rows, and that their sizes, without what either has alone, allow
+    the threshold (exact: what one has alone is in no other's set)."""
     differ = [F.bit_count(F.col(f"{a}.k{j}").bitwiseXOR(F.col(f"{b}.k{j}"))) for j in range(SKETCH_LONGS)]
     tests = [reduce(Column.__add__, differ[: j + 1]) <= most for j, most in enumerate(most_different(percent))]
-    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return reduce(Column.__and__, tests, small * 100 >= large * percent)
+    plain = F.least(F.col(f"{a}.n"), F.col(f"{b}.n"))
+    counted = F.least(F.col(f"{a}.n") - F.col(f"{a}.own"), F.col(f"{b}.n") - F.col(f"{b}.own"))
+    common = F.when((F.col(f"{a}.own") >= 0) & (F.col(f"{b}.own") >= 0), counted).otherwise(plain)
+    return reduce(Column.__and__, tests, common * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - common) * percent)
 
 
 def _verify_rows(k: int, percent: int):
@@ -143,10 +153,21 @@ def _verify_rows(k: int, percent: int):
     return verify
 
 
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, text) of the given ids (id), one row each. Up to BROADCAST_IDS of them (counted first) are broadcast, so that
+    other texts are never shuffled; more are joined."""
+    ids = ids.select(rekeyed("id").alias("id"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return texts.join(ids, F.col("doc") == F.col("id"), "left_semi").dropDuplicates(["doc"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole shingle sets reach the threshold."""
-    left = texts.select(rekeyed("doc").alias("u_"), F.col("text").alias("u_text"))
-    right = texts.select(rekeyed("doc").alias("v_"), F.col("text").alias("v_text"))
+    ids = stored(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "ids")
+    needed = stored(_texts_of(ids, texts), "texts")
+    left = needed.select(rekeyed("doc").alias("u_"), F.col("text").alias("u_text"))
+    right = needed.select(rekeyed("doc").alias("v_"), F.col("text").alias("v_text"))
     both = pairs.join(left, F.col("u") == F.col("u_")).join(right, F.col("v") == F.col("v_")).select("u", "v", "u_text", "v_text")
     return both.mapInArrow(_verify_rows(k, percent), "u long, v long")
 
@@ -192,25 +213,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     texts = docs.select(doc.alias("doc"), F.col("text").cast("binary").alias("text"))
     signed = stored(texts.mapInArrow(_signature_rows(shingle, bands, rows), "doc long, n long, s1 long, s2 long, bands array<long>, " + ", ".join(f"{k} long" for k in sketch)), "signed")
-    classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep"))
-    classes = stored(classes, "classes")
+    classes = stored(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep")), "classes")
     reps = signed.join(classes.select(F.col("rep"), F.col("s1").alias("c1"), F.col("s2").alias("c2")), (F.col("doc") == F.col("rep")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))).dropDuplicates(["rep"])
     reps = stored(reps.select("rep", "n", *sketch, "bands"), "reps")
     keyed = reps.select("rep", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("members")).where("members > 1")
-    shared = shared.select(rekeyed("band").alias("band_"), "lead")
-    members = stored(keyed.join(shared, F.col("band") == F.col("band_")).select("band", "rep", "lead"), "members")
-    star = members.where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")).distinct()
-    texts = texts.join(classes.select(F.col("rep")), F.col("doc") == F.col("rep"), "left_semi").dropDuplicates(["doc"])
-    links = stored(_verified(_pruned(star, reps, sketch, percent), texts, shingle, percent), "links")
+    shared = keyed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select(rekeyed("band").alias("band_"), "members")
+    members = stored(keyed.join(shared, F.col("band") == F.col("band_")).select("band", "rep", (F.col("members") > BIG).alias("big")), "members")
+    own = stored(_own_shingles(stored(members.where("big").select("rep").distinct(), "big"), texts, shingle), "own")
+    data = stored(reps.drop("bands").join(own.select(rekeyed("rep").alias("rep_"), "own"), F.col("rep") == F.col("rep_"), "left").select("rep", "n", *sketch, F.coalesce("own", F.lit(-1)).alias("own")), "data")
+    ranked = members.join(own.select(rekeyed("rep").alias("rep_"), "own"), F.col("rep") == F.col("rep_"), "left").select("band", "rep", F.coalesce("own", F.lit(-1)).alias("own"))
+    leads = ranked.groupBy("band").agg(F.min(F.struct("own", "rep")).alias("lead")).select(rekeyed("band").alias("band_"), "lead")
+    members = stored(members.join(leads, F.col("band") == F.col("band_")).select("band", "rep", "lead"), "members")
+    star = members.where("rep <> lead.rep").groupBy("rep").agg(F.min("lead").alias("lead")).select(F.least("rep", "lead.rep").alias("u"), F.greatest("rep", "lead.rep").alias("v")).distinct()
+    star = stored(_pruned(star, data, percent), "star")
+    links = stored(_verified(star, texts, shingle, percent), "links")
     labels = components(links)
-    tested = star
-    open_bands = _open_members(members, labels)
-    if not open_bands.isEmpty():
-        more = stored(_cross_pairs(open_bands, reps, sketch, percent).join(tested, ["u", "v"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            links = stored(links.unionByName(_verified(more, texts, shingle, percent)), "links")
-            labels = components(links)
+    open_bands = _open_members(members.select("band", "rep", F.col("lead.rep").alias("lead")), labels)
+    more = stored(_cross_pairs(open_bands, data, percent).join(star, ["u", "v"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        links = stored(links.unionByName(_verified(more, texts, shingle, percent)), "links")
+        labels = components(links)
     found = _labelled(classes, labels).select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("comp").bitwiseXOR(F.lit(0).cast("long")).alias("comp"))
     out = signed.select("doc", "n", "s1", "s2").join(found, (F.col("s1").bitwiseXOR(F.lit(0).cast("long")) == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n") > 0), "left")
     doc, comp = (F.when(F.col(c) != NO_ID, F.col(c)) for c in ("doc", "comp"))
@@ -218,27 +240,44 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return out.select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), doc.eqNullSafe(comp).alias("kept"))
 
 
-def _pruned(pairs: DataFrame, reps: DataFrame, sketch: list[str], percent: int) -> DataFrame:
+def _shingle_rows(k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rep, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = shingle_set(text or b"", k).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rep, np.int64)), pa.array(found)], ["rep", "shingle"])
+
+    return rows
+
+
+def _own_shingles(reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(rep, own): how many of its shingles no other of these documents has, which bounds the similarity of every
+    pair among them (and of no other pair) from above."""
+    rows = _texts_of(reps.select(F.col("rep").alias("id")), texts).mapInArrow(_shingle_rows(k), "rep long, shingle long")
+    lone = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("n")).where("n = 1")
+    counts = lone.groupBy("rep").agg(F.count("*").alias("own")).select(rekeyed("rep").alias("rep_"), "own")
+    return reps.join(counts, F.col("rep") == F.col("rep_"), "left").select("rep", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _pruned(pairs: DataFrame, data: DataFrame, percent: int) -> DataFrame:
     """The pairs that pass the sequential test."""
-    a = reps.select(rekeyed("rep").alias("a"), "n", *sketch).alias("x")
-    b = reps.select(rekeyed("rep").alias("b"), "n", *sketch).alias("y")
+    a, b = data.withColumn("a", rekeyed("rep")).alias("x"), data.withColumn("b", rekeyed("rep")).alias("y")
     joined = pairs.join(a, F.col("u") == F.col("x.a")).join(b, (F.col("v") == F.col("y.b")) & _plausible("x", "y", percent))
     return joined.select("u", "v")
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(band, rep, comp, head) of bands that hold several components; head is that of the band's lead."""
-    of = _labelled(members, labels)
+    of = stored(_labelled(members, labels), "labelled")
     heads = of.where("rep = lead").select(rekeyed("band").alias("band_"), F.col("comp").alias("head"))
     several = of.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(rekeyed("band").alias("open"))
     rows = of.join(several, F.col("band") == F.col("open"), "left_semi")
     return stored(rows.join(heads, F.col("band") == F.col("band_")).select("band", "rep", "comp", "head"), "open")
 
 
-def _cross_pairs(rows: DataFrame, reps: DataFrame, sketch: list[str], percent: int) -> DataFrame:
+def _cross_pairs(rows: DataFrame, data: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs (u < v) of different components that share an open band."""
-    data = reps.select(rekeyed("rep").alias("rep_"), "n", *sketch)
-    rows = rows.join(data, F.col("rep") == F.col("rep_")).select("band", "rep", "comp", "head", "n", *sketch)
+    rows = rows.join(data.withColumn("rep_", rekeyed("rep")).drop("rep"), F.col("rep") == F.col("rep_")).drop("rep_")
     out, everyone = rows.where("comp <> head").alias("x"), rows.alias("y")
     once = (F.col("y.comp") == F.col("y.head")) | (F.col("x.rep") < F.col("y.rep"))
     pairs = out.join(everyone, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once & _plausible("x", "y", percent))
