@@ -118,7 +118,13 @@ _SPELLED_PART = re.compile(rf"(?i)(double|triple)?[ -]?({_WORD})(?!\w)")
 _AT = r"(?:at|arroba|arobase|ät)"
 _DOT = r"(?:dot|punto|point|punkt)"
 _BRACKETS = re.compile(rf"(?i)[ ]?[\[({{<][ ]?(?:({_AT}|@)|({_DOT}|\.))[ ]?[\])}}>][ ]?")
-_SPACED_AT = re.compile(rf"(?i)(?<=[a-z0-9])[ _-]{_AT}[ _-](?=[a-z0-9-]+(?:(?:\.|[ _-]{_DOT}[ _-])[a-z0-9-]+)*[ _-]{_DOT}[ _-][a-z])")
+# Bare words: an English "at" goes with "dot" alone, as in "at the point of" there is no address.
+_SPACED_AT = re.compile(
+    "|".join(
+        rf"(?i:(?<=[a-z0-9])[ _-]{at}[ _-](?=[a-z0-9-]+(?:(?:\.|[ _-]{dot}[ _-])[a-z0-9-]+)*[ _-]{dot}[ _-][a-z]))"
+        for at, dot in (("at", "dot"), ("(?:arroba|arobase|ät)", _DOT))
+    )
+)
 _SPACED_DOT = re.compile(rf"(?i)(?<=[a-z0-9])[ _-]{_DOT}[ _-](?=[a-z0-9])")
 _HAS_DOT = re.compile(rf"(?i)[ _-]{_DOT}[ _-]")
 
