@@ -289,3 +289,20 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     doc_id is kept unless a copy with a doc_id or another row without one stands before it."""
     gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("gone_"))
     return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("gone_"), "left_anti")
+
+
+def oracle_sql(shingle: int, percent: int) -> str:
+    """DuckDB: exact pairs by common shingles and their components, for small tables."""
+    run = " || ' ' || ".join(f"w[i + {j}]" for j in range(shingle))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    with recursive words as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+    sets as (select doc_id, case when len(w) = 0 then [] when len(w) < {shingle} then [array_to_string(w, ' ')]
+                    else list_distinct(list_transform(range(1, len(w) - {shingle} + 2), lambda i: {run})) end as s from words),
+    rows_ as (select doc_id, len(s)::bigint as n, unnest(s) as x from sets),
+    common as (select a.doc_id as u, b.doc_id as v, any_value(a.n) as nu, any_value(b.n) as nv, count(*) as i from rows_ a join rows_ b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+    links as (select u, v from common where 100 * i >= {percent} * (nu + nv - i)),
+    ways as (select u, v from links union all select v, u from links),
+    reach as (select doc_id as u, doc_id as v from sets union select r.u, b.v from reach r join ways b on r.v = b.u),
+    comp as (select u as doc_id, min(v) as component_id from reach group by 1)
+    select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from sets join comp using (doc_id)"""

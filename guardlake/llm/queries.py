@@ -64,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.oracle_sql()}
+    return {"op1_line_dedup": line_dedup.oracle_sql(), "op3_warc": warc.oracle_sql(), "op7_near_dedup": near_dedup.oracle_sql(3, 85)}

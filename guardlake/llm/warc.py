@@ -265,3 +265,16 @@ def page_digests(pages: DataFrame, folder: str | None = None) -> DataFrame:
     bodies = bodies.select(rekeyed("of").alias("of"), "payload_bytes", "payload_digest")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return whole.select(names).unionByName(again.join(bodies, F.col("refers_to") == F.col("of"), "left").select(names))
+
+
+def oracle_sql() -> str:
+    """DuckDB: the digest rows straight from the pages. Base32 is spelled out from the digest's bits."""
+    bits = "list_aggregate(list_transform(string_split(h, ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', c) - 1)::int + 1, 4)), 'string_agg', '')"
+    five = "list_sum(list_transform(range(5), lambda j: substr(b, (5 * i + j + 1)::int, 1)::int * (16 // (1 << j))))"
+    return f"""
+    with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+    h as (select page_id, octet_length(body)::bigint as payload_bytes, sha1(body) as h, min(page_id) over (partition by sha1(body)) as first_page from p),
+    b as (select *, {bits} as b from h)
+    select page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ({five})::int + 1, 1)), 'string_agg', '') as payload_digest,
+           case when page_id = first_page then 'response' else 'revisit' end as record_type, case when page_id <> first_page then first_page end as refers_to
+    from b"""
