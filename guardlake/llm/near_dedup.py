@@ -10,9 +10,10 @@
 3. A pair's sketches are compared batch by batch; it is dropped as soon as the posterior probability of
    reaching the threshold falls below MISS, or if the bound excludes it. Survivors are verified exactly on their
    whole sets.
-4. Components of verified links. Where a band still holds several components, each member outside the
-   component of the band's lead is compared with the members of the others, by the same
-   tests inside the join; nothing is capped. What survives is verified, and components are final.
+4. Components of verified links. Where a band of at most BIG members still holds several components, each member
+   outside the component of the band's lead is compared with the members of the others, by the same tests inside
+   the join. Members of bigger ones are compared block against block inside tasks, by the same tests, so no pair is
+   ever a row. Nothing is capped; components are then final.
 
 Only lost: links that share no band (for the default 48 bands of 8: below 3e-7 at the threshold) and links that the
 posterior bound drops.
@@ -37,6 +38,8 @@ SKETCH_LONGS = 4
 MISS = 1e-6
 #: Bands with more members count as big: their members' own shingles are counted before any pair is formed.
 BIG = 32
+#: Documents of a block when members of big bands are compared block by block.
+BLOCK = 512
 #: Ids (8 bytes each) up to which a set of them is broadcast.
 BROADCAST_IDS = 2_000_000
 #: Stand-in for a null doc_id.
@@ -192,6 +195,18 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("node", "comp")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: many links between two components are one link between their labels."""
+    of = labels.select(rekeyed("node").alias("n"), "comp")
+    ends = links.join(of, F.col("u") == F.col("n"), "left").select("v", F.coalesce("comp", "u").alias("cu"))
+    ends = ends.join(of, F.col("v") == F.col("n"), "left").select("cu", F.coalesce("comp", "v").alias("cv")).where("cu <> cv")
+    above = components(ends.select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct())
+    up = above.select(rekeyed("node").alias("n"), F.col("comp").alias("up"))
+    old = labels.join(up, F.col("comp") == F.col("n"), "left").select("node", F.coalesce("up", "comp").alias("comp"))
+    new = above.join(labels.select(rekeyed("node").alias("n")), F.col("node") == F.col("n"), "left_anti")
+    return stored(old.unionByName(new), "labels")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows with comp: their rep's component, itself if it has no link."""
     labels = labels.select(rekeyed("node").alias("node_"), "comp")
@@ -221,18 +236,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     members = stored(keyed.join(shared, F.col("band") == F.col("band_")).select("band", "rep", (F.col("members") > BIG).alias("big")), "members")
     own = stored(_own_shingles(stored(members.where("big").select("rep").distinct(), "big"), texts, shingle), "own")
     data = stored(reps.drop("bands").join(own.select(rekeyed("rep").alias("rep_"), "own"), F.col("rep") == F.col("rep_"), "left").select("rep", "n", *sketch, F.coalesce("own", F.lit(-1)).alias("own")), "data")
-    ranked = members.join(own.select(rekeyed("rep").alias("rep_"), "own"), F.col("rep") == F.col("rep_"), "left").select("band", "rep", F.coalesce("own", F.lit(-1)).alias("own"))
+    ranked = members.join(own.select(rekeyed("rep").alias("rep_"), "own"), F.col("rep") == F.col("rep_"), "left").select("band", "rep", F.coalesce("own", F.lit(1 << 62)).alias("own"))
     leads = ranked.groupBy("band").agg(F.min(F.struct("own", "rep")).alias("lead")).select(rekeyed("band").alias("band_"), "lead")
-    members = stored(members.join(leads, F.col("band") == F.col("band_")).select("band", "rep", "lead"), "members")
+    members = stored(members.join(leads, F.col("band") == F.col("band_")).select("band", "rep", "lead", "big"), "members")
     star = members.where("rep <> lead.rep").groupBy("rep").agg(F.min("lead").alias("lead")).select(F.least("rep", "lead.rep").alias("u"), F.greatest("rep", "lead.rep").alias("v")).distinct()
     star = stored(_pruned(star, data, percent), "star")
     links = stored(_verified(star, texts, shingle, percent), "links")
     labels = components(links)
-    open_bands = _open_members(members.select("band", "rep", F.col("lead.rep").alias("lead")), labels)
-    more = stored(_cross_pairs(open_bands, data, percent).join(star, ["u", "v"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = stored(links.unionByName(_verified(more, texts, shingle, percent)), "links")
-        labels = components(links)
+    open_bands = _open_members(members.select("band", "rep", F.col("lead.rep").alias("lead"), "big"), labels)
+    more = stored(_cross_pairs(open_bands.where("not big"), data, percent).join(star, ["u", "v"], "left_anti"), "pairs")
+    links = stored(_verified(more, texts, shingle, percent).unionByName(_block_links(open_bands.where("big"), data, texts, shingle, percent)), "links")
+    if not links.isEmpty():
+        labels = _merged(labels, links)
     found = _labelled(classes, labels).select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("comp").bitwiseXOR(F.lit(0).cast("long")).alias("comp"))
     out = signed.select("doc", "n", "s1", "s2").join(found, (F.col("s1").bitwiseXOR(F.lit(0).cast("long")) == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n") > 0), "left")
     doc, comp = (F.when(F.col(c) != NO_ID, F.col(c)) for c in ("doc", "comp"))
@@ -267,23 +282,92 @@ def _pruned(pairs: DataFrame, data: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, rep, comp, head) of bands that hold several components; head is that of the band's lead."""
+    """(band, rep, lead, big, comp, head) of bands that hold several components; head is the lead's component."""
     of = stored(_labelled(members, labels), "labelled")
     heads = of.where("rep = lead").select(rekeyed("band").alias("band_"), F.col("comp").alias("head"))
     several = of.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(rekeyed("band").alias("open"))
     rows = of.join(several, F.col("band") == F.col("open"), "left_semi")
-    return stored(rows.join(heads, F.col("band") == F.col("band_")).select("band", "rep", "comp", "head"), "open")
+    return stored(rows.join(heads, F.col("band") == F.col("band_")).select("band", "rep", "lead", "big", "comp", "head"), "open")
 
 
 def _cross_pairs(rows: DataFrame, data: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs (u < v) of different components that share an open band."""
-    rows = rows.join(data.withColumn("rep_", rekeyed("rep")).drop("rep"), F.col("rep") == F.col("rep_")).drop("rep_")
+    """Plausible pairs (u < v) of different components that share an open band; bands here have BIG members at most."""
+    rows = rows.select("band", "rep", "comp", "head").join(data.withColumn("rep_", rekeyed("rep")).drop("rep"), F.col("rep") == F.col("rep_")).drop("rep_")
     out, everyone = rows.where("comp <> head").alias("x"), rows.alias("y")
     once = (F.col("y.comp") == F.col("y.head")) | (F.col("x.rep") < F.col("y.rep"))
     pairs = out.join(everyone, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once & _plausible("x", "y", percent))
     return pairs.select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v")).distinct()
 
 
+def _block_links(rows: DataFrame, data: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between components among members of big open bands, found without forming pairs of rows.
+
+    Documents that big open bands connect make a cluster. It is cut into blocks of about BLOCK documents by a hash;
+    each task compares two blocks: sketches first, batch by batch, then whole sets of what is left. Links inside a
+    component that the task already knows are not looked for. A task holds two blocks, however large the cluster.
+    """
+    edges = rows.where("rep <> lead").select(F.least("rep", "lead").alias("u"), F.greatest("rep", "lead").alias("v")).distinct()
+    clusters = components(edges)
+    docs = rows.select("rep", "comp").distinct().join(clusters.select(rekeyed("node").alias("n_"), F.col("comp").alias("cluster")), F.col("rep") == F.col("n_")).select("rep", "comp", "cluster")
+    sizes = docs.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select(rekeyed("cluster").alias("c_"), "blocks")
+    docs = stored(docs.join(sizes, F.col("cluster") == F.col("c_")).select("rep", "comp", "cluster", "blocks"), "clusters")
+    held = _texts_of(docs.select(F.col("rep").alias("id")), texts).select(rekeyed("doc").alias("doc"), "text")
+    sketch = data.select(rekeyed("rep").alias("r_"), "n", "own", *[f"k{j}" for j in range(SKETCH_LONGS)])
+    full = docs.join(sketch, F.col("rep") == F.col("r_")).join(held, F.col("rep") == F.col("doc"))
+    full = full.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = full.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    columns = ["cluster", "i", "j", "block", "rep", "comp", "n", "own", *[f"k{j}" for j in range(SKETCH_LONGS)], "text"]
+    return full.select(*columns).groupBy("cluster", "i", "j").applyInArrow(_compare_blocks(k, percent), "u long, v long")
+
+
+def _compare_blocks(k: int, percent: int):
+    limits = most_different(percent)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        block, rep, n, own = (rows.column(c).to_numpy() for c in ("block", "rep", "n", "own"))
+        comp, texts = rows.column("comp").to_numpy(), rows.column("text").to_pylist()
+        sketch = np.stack([rows.column(f"k{b}").to_numpy() for b in range(SKETCH_LONGS)]).view(np.uint64)
+        root = {c: c for c in set(comp.tolist())}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        sets: dict[int, set] = {}
+
+        def set_of(at: int) -> set:
+            if at not in sets:
+                sets[at] = set(shingle_set(texts[at] or b"", k).tolist())
+            return sets[at]
+
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        free = n - np.maximum(own, 0)
+        us, vs = [], []
+        for x in left.tolist():
+            ys = right[right > x] if i == j else right
+            ys = ys[comp[ys] != comp[x]]
+            common = np.minimum(free[x], free[ys])
+            ys = ys[100 * common >= percent * (n[x] + n[ys] - common)]
+            differ = np.zeros(len(ys), np.int64)
+            for b, most in enumerate(limits):
+                differ += np.bitwise_count(sketch[b, ys] ^ sketch[b, x])
+                ys, differ = ys[differ <= most], differ[differ <= most]
+            for y in ys.tolist():
+                a, b = find(int(comp[x])), find(int(comp[y]))
+                if a == b:
+                    continue
+                inner = len(set_of(x) & set_of(y))
+                if inner and 100 * inner >= percent * (int(n[x]) + int(n[y]) - inner):
+                    root[max(a, b)] = min(a, b)
+                    us.append(min(int(rep[x]), int(rep[y])))
+                    vs.append(max(int(rep[x]), int(rep[y])))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return compare
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, without those that are not kept. Of equal kept rows all stay; a null
     doc_id is kept unless a copy with a doc_id or another row without one stands before it."""
