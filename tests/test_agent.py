@@ -161,7 +161,7 @@ def test_corpora(spark, tmp_path):
     session = {"id": "i", "label": "attack", "category": "c", "root_tools": ["Read"], "events": [{"kind": "tool_call", "tool": "Bash", "args": {"command": "ls"}}, {"kind": "session_end"}], "note": ""}
     (tmp_path / "s.jsonl").write_text(json.dumps(session) + "\n")
     got = corpora.session_events(corpora.read_sessions(spark, str(tmp_path / "s.jsonl"))).orderBy("seq").collect()
-    assert [(r.seq, r.kind, r.args) for r in got] == [(1, "tool_call", '{"command":"ls"}'), (2, "session_end", None)]
+    assert [(r.seq, r.kind, r.args and json.loads(r.args)) for r in got] == [(1, "tool_call", {"command": "ls"}), (2, "session_end", None)]
 
 
 def test_options():
