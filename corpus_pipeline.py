@@ -19,8 +19,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of line runs are cut, and n_chars follows; documents of which nothing is left go."""
-    cut = line_dedup.dedup_lines(docs).where("n_lines = 0 or n_removed < n_lines")
+    """Later repeats of line runs, and of long passages on fewer lines, are cut, and n_chars follows; documents of
+    which nothing is left go."""
+    cut = line_dedup.dedup_lines(docs, long_words=line_dedup.LONG_WORDS).where("n_lines = 0 or n_removed < n_lines")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,6 +10,9 @@ windows, and all its lines go.
 
 This deletes exactly the lines covered by some `min_run`-line window that already occurred before it in
 the order of (doc_id, text hash, line): the SQL oracle says so without fingerprints.
+
+With `long_words`, shorter runs that have that many words (a paragraph on one line, say) are keyed whole and
+compared too. The pipeline asks for it; the registered query, as its SQL, looks at windows alone.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from guardlake.llm.common import rekeyed
 
 MIN_RUN = 3
+#: Words that make a run of fewer lines count, where that is asked for.
+LONG_WORDS = 50
 
 
 def _let(value: Column, body) -> Column:
@@ -82,23 +87,54 @@ def repeated_windows(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     return later.select("doc", "tag", "line")
 
 
-def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def _long_runs(text: Column, min_run: int, long_words: int) -> Column:
+    """(line, length, key) of each run of fewer than `min_run` lines with `long_words` words at least."""
+    lines = F.transform(F.filter(F.split(text, "\n"), _is_line), lambda line: F.struct(F.xxhash64(F.trim(line)).alias("hash"), F.regexp_count(line, F.lit(r"\S+")).alias("words")))
+
+    def of(a: Column) -> Column:
+        hashes, words = F.transform(a, lambda x: x["hash"]), F.transform(a, lambda x: x["words"])
+
+        def runs(h: Column, w: Column, k: int) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), lambda i: F.size(h) - i >= k)
+            long = F.filter(starts, lambda i: sum((F.element_at(w, i + j) for j in range(2, k + 1)), F.element_at(w, i + 1)) >= long_words)
+            return F.transform(long, lambda i: F.struct(i.alias("line"), F.lit(k).alias("length"), F.xxhash64(F.slice(h, i + 1, k)).alias("key")))
+
+        return _let(hashes, lambda h: _let(words, lambda w: F.concat(*[runs(h, w, k) for k in range(1, min_run)])))
+
+    return _let(lines, of)
+
+
+def repeated_long_runs(docs: DataFrame, min_run: int = MIN_RUN, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc, tag, line, length) of every run of fewer than `min_run` lines with `long_words` words that occurred before."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    runs = docs.select(doc.alias("doc"), F.xxhash64("text").alias("tag"), F.explode(_long_runs(F.col("text"), min_run, long_words)).alias("r")).select("doc", "tag", "r.*")
+    first = runs.groupBy("key", "length").agg(F.min(F.struct("doc", "tag", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.select(rekeyed("key").alias("k"), F.col("length").alias("l"), "first")
+    later = runs.join(first, (F.col("key") == F.col("k")) & (F.col("length") == F.col("l"))).where(F.struct("doc", "tag", "line") != F.col("first"))
+    return later.select("doc", "tag", "line", "length")
+
+
+def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
     """The documents, all columns, with later repeats of `min_run` or more consecutive lines deleted from `text`,
     and `n_lines` (non-blank lines before) and `n_removed` added.
 
     Lines are compared without surrounding blanks; blank lines separate nothing and stay. A document with
-    fewer lines is one window of its own and is emptied where the same whole text came before. Null text stays
+    fewer lines is one window of its own and is emptied where the same whole text came before. With `long_words`,
+    later repeats of shorter runs that have that many words go too, wherever they stand. Null text stays
     null; empty text stays empty. Repeated rows (equal doc_id and text) stand in one place, so both keep
     what the first keeps. Extra columns may have any names but those added here, which replace them.
     """
-    marks = repeated_windows(docs, min_run).groupBy("doc", "tag").agg(F.collect_set("line").alias("_starts"))
+    found = repeated_windows(docs, min_run).withColumn("length", F.lit(min_run))
+    if long_words is not None and min_run > 1:
+        found = found.unionByName(repeated_long_runs(docs, min_run, long_words))
+    marks = found.groupBy("doc", "tag").agg(F.collect_set(F.struct("line", "length")).alias("_starts"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     here = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), F.xxhash64("text").alias("_tag"))
     joined = here.join(marks.select(rekeyed("doc").alias("_d"), rekeyed("tag").alias("_t"), "_starts"), (F.col("_doc") == F.col("_d")) & (F.col("_tag") == F.col("_t")), "left")
 
     def rebuilt(lines: Column) -> Column:
         """Lines without those that a marked window covers; `line` numbers count non-blank lines."""
-        gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (min_run - 1)))))
+        gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s["line"], s["line"] + s["length"] - 1))))
 
         def without(gone: Column) -> Column:
             numbered = F.aggregate(

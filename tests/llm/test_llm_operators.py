@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from guardlake.llm import decontaminate, langid, line_dedup, media, near_dedup, packing, pii, quality, substring_dedup, warc
 from guardlake.llm.common import new_folder, tokenizer_path
 
@@ -77,6 +78,43 @@ def test_line_dedup_equals_brute_force(spark):
     assert got[61].n_removed == 8 and got[62].n_removed == 0 and got[63].text == ""
 
 
+def brute_long_runs(texts, k=line_dedup.MIN_RUN, words=line_dedup.LONG_WORDS):
+    """brute_lines, and runs of fewer than k lines with that many words."""
+    seen, out = set(), []
+    for text in texts:
+        whole = text.split("\n")
+        at = [i for i, x in enumerate(whole) if x.strip(" ")]
+        seq = [whole[i].strip(" ") for i in at]
+        gone = set()
+        for n in range(1, k + 1):
+            for i in range(len(seq) - n + 1):
+                run = tuple(seq[i : i + n])
+                if n == k or n == len(seq) or sum(len(x.split()) for x in run) >= words:
+                    kind = n == k or (n == len(seq) and "whole")
+                    for key in {(run, kind), (run, False)} if sum(len(x.split()) for x in run) >= words and n < k else {(run, kind)}:
+                        if key in seen:
+                            gone.update(at[i : i + n])
+                        seen.add(key)
+        out.append("\n".join(x for i, x in enumerate(whole) if i not in gone))
+    return out
+
+
+def test_line_dedup_long_runs_equal_brute_force(spark):
+    r = random.Random(5)
+    pool = [prose(900 + i, n) for i, n in enumerate((5, 20, 24, 25, 26, 30, 49, 50, 51, 80))] + ["", "  "]
+    texts = ["\n".join(r.choice(pool) for _ in range(r.randint(0, 5))) for _ in range(60)]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(docs(spark, texts), long_words=line_dedup.LONG_WORDS).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_long_runs(texts) != brute_lines(texts)
+
+
+def test_line_stage_cuts_long_passages_on_few_lines(spark):
+    long, half, other = prose(801, 60), prose(802, 30), prose(803, 30)
+    texts = [f"{long}\nsome end", f"a start\n{long}\nanother end", f"{half}\n{other}", f"before\n{half}\n{other}\nafter\nmore", f"x\n{half}\ny"]
+    got = {x.doc_id: x for x in corpus_pipeline.line_stage(spark, docs(spark, texts), "").collect()}
+    assert [got[i].text for i in range(5)] == [texts[0], "a start\nanother end", texts[2], "before\nafter\nmore", texts[4]]
+    assert [got[i].n_chars for i in range(5)] == [len(got[i].text) for i in range(5)]
+
+
 def test_line_dedup_odd_rows(spark, odd):
     out = line_dedup.dedup_lines(odd.withColumn("n_lines", F.lit("clash")).withColumn("line", F.lit(1)).withColumn("a.b", F.lit(2))).collect()
     assert len(out) == 13 and all(x.text is None for x in out if x.doc_id == 0)
