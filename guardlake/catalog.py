@@ -129,6 +129,13 @@ def mask_pii(spark, sf_dir):
     return table(spark, sf_dir, "documents").withColumn("findings", found).select("doc_id", F.md5(mask(F.col("text"), F.col("findings")).cast("binary")).alias("masked"))
 
 
+@register("mask_pii_all")
+def mask_pii_all(spark, sf_dir):
+    """mask_pii with all of PII_RULES; the SQL of mask_pii knows e-mail and IPv4 alone."""
+    found = RuleDetector("pii", PII_RULES).findings(F.col("text"), F.lit("input"))
+    return table(spark, sf_dir, "documents").withColumn("findings", found).select("doc_id", F.md5(mask(F.col("text"), F.col("findings")).cast("binary")).alias("masked"))
+
+
 @register("pii_findings", "with m as (select doc_id, unnest(regexp_extract_all(text, " + sql.quote(PII_RULES[3].pattern) + f")) as m from documents) select doc_id, count(*) as n_cards, count(*) filter (where {sql.LUHN}) as n_valid from m group by 1")
 def pii_findings(spark, sf_dir):
     runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?U)" + PII_RULES[3].pattern), 0)).alias("m"))
@@ -273,9 +280,10 @@ def action_classes(spark, sf_dir):
 
 @register("conversation_actions", "select conv_id, turn, case (conv_id + turn) % 7 when 1 then 'destructive' when 4 then 'side_effecting' else 'read_only' end as class from conversations")
 def conversation_actions(spark, sf_dir):
-    """Turns taken as shell commands; only the overlaid phrase acts."""
-    phrase = F.expr(overlay("(conv_id + turn)").replace("coalesce(text, '')", "''"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", actions.action_name(actions.action_class(F.lit("Bash"), phrase)).alias("class"))
+    """Whole turns, phrase and text, taken as shell commands. The SQL knows the phrases alone: it gives the same rows
+    as long as no turn's own text acts, which holds for the given tables."""
+    text = F.expr(overlay("(conv_id + turn)"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", actions.action_name(actions.action_class(F.lit("Bash"), text)).alias("class"))
 
 
 @register("provenance_trust", "select page_id, 'network' as origin, nullif(lower(split_part(regexp_extract(regexp_replace(split_part(url, '://', 2), '[/?#].*$', ''), '[^@]*$'), ':', 1)), '') as host, 0 as trust from pages")
