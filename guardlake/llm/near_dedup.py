@@ -74,7 +74,7 @@ def signature(shingles: np.ndarray, n: int) -> np.ndarray:
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """Sorted distinct shingle hashes of ASCII-lower-cased words; fewer words than k are one shingle."""
-    return np.unique(shingle_hashes(word_hashes(text.lower().split()), k))
+    return np.unique(shingle_hashes(word_hashes(text.lower()), k))
 
 
 def _signature_rows(k: int, bands: int, rows: int):
