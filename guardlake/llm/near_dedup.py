@@ -2,18 +2,18 @@
 
 1. Every document gets its set of word shingles (64-bit hashes), the set's 128-bit digest, a MinHash
    signature in bands and a sketch of one-bit MinHashes. Documents with equal sets form one class, and only
-   one representative of a class goes on.
-2. Representatives that share a band are candidates. For members of big bands it is counted how many of their
-   shingles no other such member has (linear: one aggregate over shingles); this bounds what they can share. Every
-   representative is paired with one lead of its bands, the one with the fewest shingles of its own, which joins large
-   groups of copies without forming their pairs.
+   one representative of a class goes on, under the number of its row: a missing or repeated doc_id plays no part.
+2. Representatives that share a band are candidates; their sets are stored. For members of big bands it is counted how
+   many of their shingles no other such member has (linear: one aggregate over shingles). Every representative is
+   paired with one lead of its bands, the one with the fewest shingles of its own, which joins large groups of copies
+   without forming their pairs; the exact size of what it shares with the lead is kept.
 3. A pair's sketches are compared batch by batch; it is dropped as soon as the posterior probability of
-   reaching the threshold falls below MISS, or if the bound excludes it. Survivors are verified exactly on their
-   whole sets.
-4. Components of verified links. Where a band of at most BIG members still holds several components, each member
-   outside the component of the band's lead is compared with the members of the others, by the same tests inside
-   the join. Members of bigger ones are compared block against block inside tasks, by the same tests, so no pair is
-   ever a row. Nothing is capped; components are then final.
+   reaching the threshold falls below MISS. It is also dropped where exact bounds exclude it: what the two can share is
+   at most what both share with a common lead, and what each has beside the lead and not alone. Survivors are verified
+   exactly on their whole sets.
+4. Components of verified links. Where a band still holds several components, each member outside the component of
+   the band's lead is compared with the members of the others, by the same tests inside the join, on sketches and
+   counts alone; sets are fetched for survivors. Nothing is capped; components are then final.
 
 Only lost: links that share no band (for the default 48 bands of 8: below 3e-7 at the threshold) and links that the
 posterior bound drops.
@@ -27,10 +27,11 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardlake.llm.common import rekeyed, shingle_hashes, stored, word_hashes
+from guardlake.llm.common import free_names, map_arrow, rekeyed, shingle_hashes, stored, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 SKETCH_LONGS = 4
@@ -38,12 +39,13 @@ SKETCH_LONGS = 4
 MISS = 1e-6
 #: Bands with more members count as big: their members' own shingles are counted before any pair is formed.
 BIG = 32
-#: Documents of a block when members of big bands are compared block by block.
-BLOCK = 512
-#: Ids (8 bytes each) up to which a set of them is broadcast.
-BROADCAST_IDS = 2_000_000
-#: Stand-in for a null doc_id.
+#: Rows (some 24 bytes each) up to which a counted set of keys is broadcast.
+BROADCAST_ROWS = 500_000
+#: Stand-in for a null doc_id in join keys.
 NO_ID = -(1 << 63)
+#: Shingle hashes that one batch of sets holds.
+BATCH_HASHES = 1 << 18
+SKETCH = [f"k{j}" for j in range(SKETCH_LONGS)]
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -82,8 +84,9 @@ def _signature_rows(k: int, bands: int, rows: int):
     salt = (np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            texts = b.column(2).to_pylist()
             sizes, s1, s2 = [], [], []
             keys = np.zeros((len(texts), bands), np.int64)
             sketch = np.zeros((len(texts), SKETCH_LONGS), np.int64)
@@ -104,9 +107,10 @@ def _signature_rows(k: int, bands: int, rows: int):
                 sketch[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
             empty = np.array(sizes) == 0
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, bands))]), pa.int32())
-            flat = pa.array(keys[~empty].ravel())
-            columns = [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(offsets, flat)]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(sketch[:, j]) for j in range(SKETCH_LONGS))], ["doc", "n", "s1", "s2", "bands", *(f"k{j}" for j in range(SKETCH_LONGS))])
+            numbers = pa.array(np.arange(row, row + len(texts)))
+            row += len(texts)
+            columns = [numbers, b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys[~empty].ravel()))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(sketch[:, j]) for j in range(SKETCH_LONGS))], ["row", "doc", "tag", "n", "s1", "s2", "bands", *SKETCH])
 
     return sign
 
@@ -131,48 +135,81 @@ def most_different(percent: int, miss: float = MISS) -> tuple[int, ...]:
 
 
 def _plausible(a: str, b: str, percent: int) -> Column:
-    """The sequential test of the pair of aliased rows, and that their sizes, without what either has alone, allow
-    the threshold (exact: what one has alone is in no other's set)."""
+    """The sequential test of the pair of aliased rows of `data`, and the exact bounds: what one has alone is in no other
+    set, and what both have is in their lead's set or beside it."""
     differ = [F.bit_count(F.col(f"{a}.k{j}").bitwiseXOR(F.col(f"{b}.k{j}"))) for j in range(SKETCH_LONGS)]
     tests = [reduce(Column.__add__, differ[: j + 1]) <= most for j, most in enumerate(most_different(percent))]
-    plain = F.least(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    counted = F.least(F.col(f"{a}.n") - F.col(f"{a}.own"), F.col(f"{b}.n") - F.col(f"{b}.own"))
-    common = F.when((F.col(f"{a}.own") >= 0) & (F.col(f"{b}.own") >= 0), counted).otherwise(plain)
-    return reduce(Column.__and__, tests, common * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - common) * percent)
+    counted = (F.col(f"{a}.own") >= 0) & (F.col(f"{b}.own") >= 0)
 
+    def shared(x: str) -> Column:
+        return F.col(f"{x}.n") - F.when(counted, F.col(f"{x}.own")).otherwise(0)
 
-def _verify_rows(k: int, percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    same_lead = (F.col(f"{a}.lead") == F.col(f"{b}.lead")) & (F.col(f"{a}.inner") >= 0) & (F.col(f"{b}.inner") >= 0)
+    inside = F.least(F.col(f"{a}.inner"), F.col(f"{b}.inner"))
+    beside = F.least(shared(a) - F.col(f"{a}.inner"), shared(b) - F.col(f"{b}.inner"))
+    most = F.least(shared(a), shared(b))
+    most = F.when(same_lead, F.least(most, inside + F.greatest(beside, F.lit(0)))).otherwise(most)
+    return reduce(Column.__and__, tests, most * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - most) * percent)
+
+
+def _key(doc: str = "doc_id") -> Column:
+    return F.coalesce(F.col(f"`{doc}`").cast("long"), F.lit(NO_ID))
+
+
+def _tag(text: str = "text") -> Column:
+    return F.xxhash64(F.col(f"`{text}`").cast("string"))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """The stored rows, broadcast if they are counted to be few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _set_rows(k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, last, last_set = [], None, None
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if x is not last:
-                    last, last_set = x, shingle_set(x or b"", k)
-                other = shingle_set(y or b"", k)
-                inner = len(np.intersect1d(last_set, other, assume_unique=True))
-                keep.append(inner > 0 and 100 * inner >= percent * (len(last_set) + len(other) - inner))
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            reps, sets, held = [], [], 0
+            for rep, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = shingle_set(text or b"", k).view(np.int64)
+                reps.append(rep)
+                sets.append(found)
+                held += len(found)
+                if held >= BATCH_HASHES:
+                    yield _set_batch(reps, sets)
+                    reps, sets, held = [], [], 0
+            if reps:
+                yield _set_batch(reps, sets)
+
+    return rows
+
+
+def _set_batch(reps: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["rep", "hashes"])
 
-    return verify
 
+def _sets_of(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(rep, hashes) of the wanted rows (rep, doc, tag, copies). Few of them are broadcast, so that other texts are never
+    shuffled. Rows with equal doc_id and text hash have one text; any of them will do."""
+    texts = docs.select(_key().alias("d"), _tag().alias("t"), F.col("text").cast("binary").alias("text"))
+    ids = _few(stored(wanted.select("rep", F.coalesce("doc", F.lit(NO_ID)).alias("doc"), "tag"), "wanted"))
+    found = texts.join(ids, (F.col("d") == F.col("doc")) & (F.col("t") == F.col("tag"))).select("rep", "text")
+    sets = stored(map_arrow(found, _set_rows(k), "rep long, hashes array<long>"), "sets")
+    many = _few(stored(wanted.where("copies > 1").select(rekeyed("rep").alias("rep_")), "many"))  # only these can have come twice
+    again = stored(sets.join(many, F.col("rep") == F.col("rep_"), "left_semi").dropDuplicates(["rep"]), "sets")
+    return sets.join(many, F.col("rep") == F.col("rep_"), "left_anti").unionByName(again)
 
-def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc, text) of the given ids (id), one row each. Up to BROADCAST_IDS of them (counted first) are broadcast, so that
-    other texts are never shuffled; more are joined."""
-    ids = ids.select(rekeyed("id").alias("id"))
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return texts.join(ids, F.col("doc") == F.col("id"), "left_semi").dropDuplicates(["doc"])
 
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) with the sizes of their sets and of what they share, from whole sets."""
+    left = sets.select(rekeyed("rep").alias("u_"), F.col("hashes").alias("u_set"))
+    right = sets.select(rekeyed("rep").alias("v_"), F.col("hashes").alias("v_set"))
+    both = pairs.join(left, F.col("u") == F.col("u_")).join(right, F.col("v") == F.col("v_"))
+    return both.select("u", "v", F.size("u_set").alias("nu"), F.size("v_set").alias("nv"), F.size(F.array_intersect("u_set", "v_set")).cast("long").alias("inner"))
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole shingle sets reach the threshold."""
-    ids = stored(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "ids")
-    needed = stored(_texts_of(ids, texts), "texts")
-    left = needed.select(rekeyed("doc").alias("u_"), F.col("text").alias("u_text"))
-    right = needed.select(rekeyed("doc").alias("v_"), F.col("text").alias("v_text"))
-    both = pairs.join(left, F.col("u") == F.col("u_")).join(right, F.col("v") == F.col("v_")).select("u", "v", "u_text", "v_text")
-    return both.mapInArrow(_verify_rows(k, percent), "u long, v long")
+
+def _reaches(percent: int) -> Column:
+    return (F.col("inner") > 0) & (F.col("inner") * 100 >= (F.col("nu") + F.col("nv") - F.col("inner")) * percent)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -213,166 +250,105 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, F.col("rep") == F.col("node_"), "left").select(*rows.columns, F.coalesce("comp", "rep").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
-
-    Documents are linked if 100 * intersection >= percent * union of their sets of distinct shingles; words are
-    ASCII-lower-cased and parted by ASCII white space. Fewer words than `shingle` are one shingle. Null, empty and
-    blank texts have an empty set and are linked with nothing. component_id is the smallest doc_id
-    reachable; kept says whether it is the document's own. Repeated rows get equal answers. Documents without a
-    doc_id are classed together with their copies, give no component_id but their copies', and sort first.
-    Extra columns are ignored.
-    """
+def _classified(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(row, doc, tag, n, comp, component_id) of every row; comp is the smallest row of its component, null without one."""
     bands, rows = banding(percent)
-    sketch = [f"k{j}" for j in range(SKETCH_LONGS)]
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    texts = docs.select(doc.alias("doc"), F.col("text").cast("binary").alias("text"))
-    signed = stored(texts.mapInArrow(_signature_rows(shingle, bands, rows), "doc long, n long, s1 long, s2 long, bands array<long>, " + ", ".join(f"{k} long" for k in sketch)), "signed")
-    classes = stored(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep")), "classes")
-    reps = signed.join(classes.select(F.col("rep"), F.col("s1").alias("c1"), F.col("s2").alias("c2")), (F.col("doc") == F.col("rep")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))).dropDuplicates(["rep"])
-    reps = stored(reps.select("rep", "n", *sketch, "bands"), "reps")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), _tag().alias("tag"), F.col("text").cast("binary").alias("text"))
+    schema = "row long, doc long, tag long, n long, s1 long, s2 long, bands array<long>, " + ", ".join(f"{k} long" for k in SKETCH)
+    signed = stored(map_arrow(texts, _signature_rows(shingle, bands, rows), schema), "signed")
+    classes = stored(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("rep"), F.min("doc").alias("low"), F.count("*").alias("copies")), "classes")
+    reps = stored(signed.join(classes.select(rekeyed("rep").alias("rep_"), "copies"), F.col("row") == F.col("rep_")).select("rep_", "doc", "tag", "n", *SKETCH, "bands", "copies").withColumnRenamed("rep_", "rep"), "reps")
+    labels = _linked(reps, docs, shingle, percent)
+    of = labels.select(rekeyed("node").alias("node_"), F.col("comp").alias("label"))
+    placed = stored(classes.join(of, F.col("rep") == F.col("node_"), "left").select("s1", "s2", "low", F.coalesce("label", "rep").alias("comp")), "placed")
+    lows = placed.groupBy("comp").agg(F.min("low").alias("component_id")).select(rekeyed("comp").alias("comp_"), "component_id")
+    found = placed.join(lows, F.col("comp") == F.col("comp_")).select(rekeyed("s1").alias("c1"), rekeyed("s2").alias("c2"), "comp", "component_id")
+    out = signed.select("row", "doc", "tag", "n", "s1", "s2").join(found, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n") > 0), "left")
+    return out.select("row", "doc", "tag", "n", "comp", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def _linked(reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, comp) of the representatives that have a link."""
     keyed = reps.select("rep", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select(rekeyed("band").alias("band_"), "members")
     members = stored(keyed.join(shared, F.col("band") == F.col("band_")).select("band", "rep", (F.col("members") > BIG).alias("big")), "members")
-    own = stored(_own_shingles(stored(members.where("big").select("rep").distinct(), "big"), texts, shingle), "own")
-    data = stored(reps.drop("bands").join(own.select(rekeyed("rep").alias("rep_"), "own"), F.col("rep") == F.col("rep_"), "left").select("rep", "n", *sketch, F.coalesce("own", F.lit(-1)).alias("own")), "data")
-    ranked = members.join(own.select(rekeyed("rep").alias("rep_"), "own"), F.col("rep") == F.col("rep_"), "left").select("band", "rep", F.coalesce("own", F.lit(1 << 62)).alias("own"))
+    inside = stored(members.groupBy("rep").agg(F.max("big").alias("big")), "inside")
+    data = reps.drop("bands").join(inside.select(rekeyed("rep").alias("rep_"), "big"), F.col("rep") == F.col("rep_")).drop("rep_")
+    data = stored(data.select("rep", "doc", "tag", "n", *SKETCH, "copies", "big"), "inside")
+    sets = _sets_of(data, docs, shingle)
+    own = stored(_own_shingles(data.where("big").select("rep"), sets), "own")
+    ranked = members.join(own.select(rekeyed("rep").alias("rep_"), "own"), F.col("rep") == F.col("rep_"), "left").select("band", "rep", F.coalesce("own", F.lit(1 << 62)).alias("own"), "big")
+    ranked = stored(ranked, "ranked")
     leads = ranked.groupBy("band").agg(F.min(F.struct("own", "rep")).alias("lead")).select(rekeyed("band").alias("band_"), "lead")
-    members = stored(members.join(leads, F.col("band") == F.col("band_")).select("band", "rep", "lead", "big"), "members")
-    star = members.where("rep <> lead.rep").groupBy("rep").agg(F.min("lead").alias("lead")).select(F.least("rep", "lead.rep").alias("u"), F.greatest("rep", "lead.rep").alias("v")).distinct()
-    star = stored(_pruned(star, data, percent), "star")
-    links = stored(_verified(star, texts, shingle, percent), "links")
+    members = stored(ranked.join(leads, F.col("band") == F.col("band_")).select("band", "rep", "lead"), "members")
+    star = stored(members.groupBy("rep").agg(F.min("lead").alias("lead")).select("rep", F.col("lead.rep").alias("lead")), "leads")
+    measured = stored(_measured(star.where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")), sets), "star")
+    links = measured.where(_reaches(percent)).select("u", "v")
     labels = components(links)
-    open_bands = _open_members(members.select("band", "rep", F.col("lead.rep").alias("lead"), "big"), labels)
-    more = stored(_cross_pairs(open_bands.where("not big"), data, percent).join(star, ["u", "v"], "left_anti"), "pairs")
-    links = stored(_verified(more, texts, shingle, percent).unionByName(_block_links(open_bands.where("big"), data, texts, shingle, percent)), "links")
-    if not links.isEmpty():
-        labels = _merged(labels, links)
-    found = _labelled(classes, labels).select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("comp").bitwiseXOR(F.lit(0).cast("long")).alias("comp"))
-    out = signed.select("doc", "n", "s1", "s2").join(found, (F.col("s1").bitwiseXOR(F.lit(0).cast("long")) == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n") > 0), "left")
-    doc, comp = (F.when(F.col(c) != NO_ID, F.col(c)) for c in ("doc", "comp"))
-    comp = F.when(F.col("n") > 0, comp).otherwise(doc)
-    return out.select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), doc.eqNullSafe(comp).alias("kept"))
-
-
-def _shingle_rows(k: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for rep, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = shingle_set(text or b"", k).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rep, np.int64)), pa.array(found)], ["rep", "shingle"])
-
-    return rows
+    facts = star.join(measured.select(rekeyed("v").alias("v_"), "inner"), F.col("rep") == F.col("v_"), "left").select(F.col("rep").alias("r1"), "lead", "inner")
+    facts = facts.join(own.select(rekeyed("rep").alias("r2"), "own"), F.col("r1") == F.col("r2"), "left").select(rekeyed("r1").alias("r1"), "lead", "inner", F.coalesce("own", F.lit(-1)).alias("own"))
+    data = stored(data.join(facts, F.col("rep") == F.col("r1")).select("rep", "n", *SKETCH, "own", "lead", F.when(F.col("lead") == F.col("rep"), F.col("n")).otherwise(F.col("inner")).alias("inner")), "data")
+    pairs = stored(_cross_pairs(_open_members(members.select("band", "rep", F.col("lead.rep").alias("lead")), labels), data, percent), "pairs")
+    more = stored(_measured(pairs, sets).where(_reaches(percent)).select("u", "v"), "links")
+    return labels if more.isEmpty() else _merged(labels, more)
 
 
-def _own_shingles(reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def _own_shingles(reps: DataFrame, sets: DataFrame) -> DataFrame:
     """(rep, own): how many of its shingles no other of these documents has, which bounds the similarity of every
     pair among them (and of no other pair) from above."""
-    rows = _texts_of(reps.select(F.col("rep").alias("id")), texts).mapInArrow(_shingle_rows(k), "rep long, shingle long")
+    rows = sets.join(_few(reps.select(rekeyed("rep").alias("rep_"))), F.col("rep") == F.col("rep_"), "left_semi").select("rep", F.explode("hashes").alias("shingle"))
     lone = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.count("*").alias("n")).where("n = 1")
     counts = lone.groupBy("rep").agg(F.count("*").alias("own")).select(rekeyed("rep").alias("rep_"), "own")
     return reps.join(counts, F.col("rep") == F.col("rep_"), "left").select("rep", F.coalesce("own", F.lit(0)).alias("own"))
 
 
-def _pruned(pairs: DataFrame, data: DataFrame, percent: int) -> DataFrame:
-    """The pairs that pass the sequential test."""
-    a, b = data.withColumn("a", rekeyed("rep")).alias("x"), data.withColumn("b", rekeyed("rep")).alias("y")
-    joined = pairs.join(a, F.col("u") == F.col("x.a")).join(b, (F.col("v") == F.col("y.b")) & _plausible("x", "y", percent))
-    return joined.select("u", "v")
-
-
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, rep, lead, big, comp, head) of bands that hold several components; head is the lead's component."""
+    """(band, rep, comp, head) of bands that hold several components; head is the lead's component."""
     of = stored(_labelled(members, labels), "labelled")
     heads = of.where("rep = lead").select(rekeyed("band").alias("band_"), F.col("comp").alias("head"))
     several = of.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(rekeyed("band").alias("open"))
     rows = of.join(several, F.col("band") == F.col("open"), "left_semi")
-    return stored(rows.join(heads, F.col("band") == F.col("band_")).select("band", "rep", "lead", "big", "comp", "head"), "open")
+    return stored(rows.join(heads, F.col("band") == F.col("band_")).select("band", "rep", "comp", "head"), "open")
 
 
 def _cross_pairs(rows: DataFrame, data: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs (u < v) of different components that share an open band; bands here have BIG members at most."""
-    rows = rows.select("band", "rep", "comp", "head").join(data.withColumn("rep_", rekeyed("rep")).drop("rep"), F.col("rep") == F.col("rep_")).drop("rep_")
+    """Plausible pairs (u < v) of different components that share an open band, but for pairs of a document and its lead,
+    which are measured already."""
+    rows = stored(rows.join(data.withColumn("rep_", rekeyed("rep")).drop("rep"), F.col("rep") == F.col("rep_")).drop("rep_"), "open")
     out, everyone = rows.where("comp <> head").alias("x"), rows.alias("y")
     once = (F.col("y.comp") == F.col("y.head")) | (F.col("x.rep") < F.col("y.rep"))
-    pairs = out.join(everyone, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once & _plausible("x", "y", percent))
+    new = (F.col("x.rep") != F.col("y.lead")) & (F.col("y.rep") != F.col("x.lead"))
+    pairs = out.join(everyone, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once & new & _plausible("x", "y", percent))
     return pairs.select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v")).distinct()
 
 
-def _block_links(rows: DataFrame, data: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (u, v) between components among members of big open bands, found without forming pairs of rows.
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document.
 
-    Documents that big open bands connect make a cluster. It is cut into blocks of about BLOCK documents by a hash;
-    each task compares two blocks: sketches first, batch by batch, then whole sets of what is left. Links inside a
-    component that the task already knows are not looked for. A task holds two blocks, however large the cluster.
+    Documents are linked if 100 * intersection >= percent * union of their sets of distinct shingles; words are
+    ASCII-lower-cased and parted by ASCII white space. Fewer words than `shingle` are one shingle. Null, empty and
+    blank texts have an empty set and are linked with nothing. component_id is the smallest doc_id
+    reachable; kept says whether it is the document's own. Repeated rows get equal answers; rows with one doc_id and
+    different texts are documents of their own. Documents without a doc_id are linked like any other; their component_id
+    is null where none in reach has one. Extra columns, whatever their names, are ignored.
     """
-    edges = rows.where("rep <> lead").select(F.least("rep", "lead").alias("u"), F.greatest("rep", "lead").alias("v")).distinct()
-    clusters = components(edges)
-    docs = rows.select("rep", "comp").distinct().join(clusters.select(rekeyed("node").alias("n_"), F.col("comp").alias("cluster")), F.col("rep") == F.col("n_")).select("rep", "comp", "cluster")
-    sizes = docs.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select(rekeyed("cluster").alias("c_"), "blocks")
-    docs = stored(docs.join(sizes, F.col("cluster") == F.col("c_")).select("rep", "comp", "cluster", "blocks"), "clusters")
-    held = _texts_of(docs.select(F.col("rep").alias("id")), texts).select(rekeyed("doc").alias("doc"), "text")
-    sketch = data.select(rekeyed("rep").alias("r_"), "n", "own", *[f"k{j}" for j in range(SKETCH_LONGS)])
-    full = docs.join(sketch, F.col("rep") == F.col("r_")).join(held, F.col("rep") == F.col("doc"))
-    full = full.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    full = full.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    columns = ["cluster", "i", "j", "block", "rep", "comp", "n", "own", *[f"k{j}" for j in range(SKETCH_LONGS)], "text"]
-    return full.select(*columns).groupBy("cluster", "i", "j").applyInArrow(_compare_blocks(k, percent), "u long, v long")
-
-
-def _compare_blocks(k: int, percent: int):
-    limits = most_different(percent)
-
-    def compare(rows: pa.Table) -> pa.Table:
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        block, rep, n, own = (rows.column(c).to_numpy() for c in ("block", "rep", "n", "own"))
-        comp, texts = rows.column("comp").to_numpy(), rows.column("text").to_pylist()
-        sketch = np.stack([rows.column(f"k{b}").to_numpy() for b in range(SKETCH_LONGS)]).view(np.uint64)
-        root = {c: c for c in set(comp.tolist())}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        sets: dict[int, set] = {}
-
-        def set_of(at: int) -> set:
-            if at not in sets:
-                sets[at] = set(shingle_set(texts[at] or b"", k).tolist())
-            return sets[at]
-
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        free = n - np.maximum(own, 0)
-        us, vs = [], []
-        for x in left.tolist():
-            ys = right[right > x] if i == j else right
-            ys = ys[comp[ys] != comp[x]]
-            common = np.minimum(free[x], free[ys])
-            ys = ys[100 * common >= percent * (n[x] + n[ys] - common)]
-            differ = np.zeros(len(ys), np.int64)
-            for b, most in enumerate(limits):
-                differ += np.bitwise_count(sketch[b, ys] ^ sketch[b, x])
-                ys, differ = ys[differ <= most], differ[differ <= most]
-            for y in ys.tolist():
-                a, b = find(int(comp[x])), find(int(comp[y]))
-                if a == b:
-                    continue
-                inner = len(set_of(x) & set_of(y))
-                if inner and 100 * inner >= percent * (int(n[x]) + int(n[y]) - inner):
-                    root[max(a, b)] = min(a, b)
-                    us.append(min(int(rep[x]), int(rep[y])))
-                    vs.append(max(int(rep[x]), int(rep[y])))
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
-
-    return compare
+    out = _classified(docs, shingle, percent)
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns, without those that are not kept. Of equal kept rows all stay; a null
-    doc_id is kept unless a copy with a doc_id or another row without one stands before it."""
-    gone = near_duplicates(docs, shingle, percent).where("not kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("gone_"))
-    return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("gone_"), "left_anti")
+    """The documents, all columns, one row of each component: the one with the smallest doc_id (null last), then by the
+    hash of its text; of rows that are equal in both any one. Rows without words all stay."""
+    out = stored(_classified(docs, shingle, percent).where("n > 0").select("row", "doc", "tag", "comp"), "classified")
+    best = out.groupBy("comp").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "tag")).alias("best")).select(rekeyed("comp").alias("comp_"), "best")
+    marked = out.join(best, F.col("comp") == F.col("comp_")).select(F.coalesce("doc", F.lit(NO_ID)).alias("doc"), "tag", (F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("tag") == F.col("best.tag"))).alias("stays"))
+    keys = stored(marked.groupBy("doc", "tag").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "keys")
+    doc, tag, d, t, stays = free_names(docs, "doc", "tag", "d", "t", "stays")
+    keyed = docs.withColumns({doc: _key(), tag: _tag()})
+    joined = keyed.join(_few(keys.select(rekeyed("doc").alias(d), rekeyed("tag").alias(t), F.col("stays").alias(stays))), (F.col(f"`{doc}`") == F.col(d)) & (F.col(f"`{tag}`") == F.col(t)), "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = joined.where(F.col(stays)).dropDuplicates([doc, tag]).select(*names)
+    return joined.where(F.col(stays).isNull()).select(*names).unionByName(once)
 
 
 def oracle_sql(shingle: int, percent: int) -> str:
