@@ -7,6 +7,10 @@ seek and one frame.
 
 Equal payloads are found by their SHA-1 before anything is written: of each group the record with the
 smallest id is a `response`, the others `revisit` it without a body.
+
+A bundle's name has the attempt of the task that wrote it, and the index, which Spark commits once for each task, names
+the bundles that count: a repeated or speculative attempt never touches another's bundle, whatever order its rows come
+in. What no index names is swept away afterwards. Archives are read by frames, so one bundle serves many tasks.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guardlake.llm.common import new_folder, rekeyed, shuffle_partitions, stored
+from guardlake.llm.common import map_arrow, new_folder, rekeyed, shuffle_partitions, stored
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 1 << 30
 #: Payloads below this many bytes are never revisits.
 MIN_REVISIT_BYTES = 0
 LEVEL = 3
+#: Frames that a task reads, unless there are fewer tasks than shuffle partitions.
+TASK_FRAMES = 64
 # Fixed values of the seekable Zstandard format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -98,20 +104,21 @@ def base32_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}')}>"
+def record_id(bundle: str, number: int) -> str:
+    """The id of a bundle's record: its own, also where ids of pages are null or repeat."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{bundle}:{number}')}>"
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit has no body; it names the response that has it."""
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", "1970-01-01T00:00:00Z")]
+def warc_record(record: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    """One WARC/1.1 record. A revisit has no body; its digest and page name the response that has it."""
+    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record), ("WARC-Date", "1970-01-01T00:00:00Z")]
     if page_id is not None:
         head.append(("X-Page-ID", str(page_id)))
     if url is not None:
         head.append(("WARC-Target-URI", "".join(url.split())))
     head.append(("WARC-Payload-Digest", f"sha1:{digest}"))
     if refers_to is not None:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page", str(refers_to))]
+        head += [("WARC-Profile", PROFILE), ("X-Refers-To-Page", str(refers_to))]
         payload = b""
     head += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + payload + b"\r\n\r\n"
@@ -135,39 +142,44 @@ def _filesystem(folder: str):
     return pafs.FileSystem.from_uri(folder)
 
 
-def _writer(folder: str):
+def _writer(folder: str, run: str):
     schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("bundle", pa.string()), ("frame", pa.int64()), ("frame_at", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
-        task, number, out, trial, name = TaskContext.get(), 0, None, "", ""
-
-        def finish() -> None:
-            out.close()
-            fs.move(trial, f"{root}/{name}")  # whole bundles only; a repeated attempt writes the same one
-
+        task, number, records, out, name = TaskContext.get(), 0, 0, None, ""
         for b in batches:
             rows = []
             for page, url, html, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 if out is None:
-                    name = f"bundle-{task.partitionId():06d}-{number:04d}.warc.zst"
-                    trial = f"{root}/.{name}-{task.taskAttemptId()}"
+                    name = f"bundle-{run}-{task.partitionId():06d}-{task.taskAttemptId()}-{number:04d}.warc.zst"
                     fs.create_dir(root, recursive=True)
-                    out = BundleWriter(fs.open_output_stream(trial))
-                payload = html or b""
-                place = out.add(warc_record(page, url, payload, base32_digest(payload), refers))
-                rows.append((page, record_id(page), f"{folder}/{name}", *place))
+                    out, records = BundleWriter(fs.open_output_stream(f"{root}/{name}", compression=None)), 0
+                payload, record = html or b"", record_id(name, records)
+                place = out.add(warc_record(record, page, url, payload, base32_digest(payload), refers))
+                rows.append((page, record, f"{folder}/{name}", *place))
+                records += 1
                 if out.written > BUNDLE_BYTES:
-                    finish()
+                    out.close()
                     out, number = None, number + 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         if out is not None:
-            finish()
+            out.close()
 
     return write
 
 
+def sweep(folder: str, index: DataFrame) -> None:
+    """Delete bundles in the folder that the index does not name (attempts that did not count). The names that do come
+    to the driver: one for each GB of records and task."""
+    fs, root = _filesystem(folder)
+    counted = {r["bundle"].rpartition("/")[2] for r in index.select("bundle").distinct().collect()}
+    for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.startswith("bundle-") and f.base_name not in counted:
+            fs.delete_file(f.path)
+
+
 def with_first_copy(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """The pages with `refers_to`: the smallest page_id of the same payload, null for that page itself.
 
@@ -188,83 +200,98 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BY
     """Write a record for each page below `folder` (a URI all executors share); gives the record index.
 
     Takes page_id, url, html. Null html is an empty payload; null url leaves out the target. Extra columns
-    are ignored; rows with equal page_id are each written, and a null page_id is always a response. An empty table writes nothing. The index is stored
-    beside the bundles, so they are written once however often it is read.
+    are ignored; rows with equal page_id are each written (equal payloads too: both are responses), and a null page_id
+    is always a response. An empty table writes nothing. The index is stored beside the bundles, so they are written
+    once however often it is read.
     """
-    index = with_first_copy(pages, min_bytes).mapInArrow(_writer(folder), INDEX_SCHEMA)
-    index.write.parquet(f"{folder}/index")
-    return pages.sparkSession.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
+    written = map_arrow(with_first_copy(pages, min_bytes), _writer(folder, uuid.uuid4().hex[:8]), INDEX_SCHEMA)
+    written.write.parquet(f"{folder}/index")
+    index = pages.sparkSession.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
+    sweep(folder, index)
+    return index
 
 
 RECORD_SCHEMA = "page_id long, bundle string, frame long, offset long, record_type string, refers_to long, header_digest string, payload binary"
 
 
+@lru_cache(64)
+def _frames(bundle: str) -> tuple[tuple[int, int], ...]:
+    folder, _, name = bundle.rpartition("/")
+    fs, root = _filesystem(folder)
+    with fs.open_input_file(f"{root}/{name}") as source:
+        return tuple(seek_table(source))
+
+
+def _frame(bundle: str, number: int) -> bytes:
+    """One decompressed frame of a bundle."""
+    folder, _, name = bundle.rpartition("/")
+    fs, root = _filesystem(folder)
+    with fs.open_input_file(f"{root}/{name}") as source:
+        return read_frame(source, *_frames(bundle)[number])
+
+
 def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int64()), ("offset", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("header_digest", pa.string()), ("payload", pa.binary())])
     for b in batches:
-        for bundle in b.column(0).to_pylist():
-            folder, _, name = bundle.rpartition("/")
-            fs, root = _filesystem(folder)
-            with fs.open_input_file(f"{root}/{name}") as source:
-                for k, (place, size) in enumerate(seek_table(source)):
-                    rows = [
-                        (int(h["X-Page-ID"]) if "X-Page-ID" in h else None, bundle, k, at, h["WARC-Type"], int(h["X-Refers-To-Page"]) if "X-Refers-To-Page" in h else None, h["WARC-Payload-Digest"].removeprefix("sha1:"), body)
-                        for at, h, body in parse_records(read_frame(source, place, size))
-                    ]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        for bundle, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rows = [
+                (int(h["X-Page-ID"]) if "X-Page-ID" in h else None, bundle, k, at, h["WARC-Type"], int(h["X-Refers-To-Page"]) if "X-Refers-To-Page" in h else None, h["WARC-Payload-Digest"].removeprefix("sha1:"), body)
+                for at, h, body in parse_records(_frame(bundle, k))
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """Every record of the bundles that the index names, frame by frame through the seek tables."""
-    n = shuffle_partitions(index.sparkSession)
-    return index.select("bundle").distinct().repartition(n, "bundle").mapInArrow(_read_rows, RECORD_SCHEMA)
+    """Every record of the frames that the index names, through the seek tables; frames are dealt over tasks."""
+    spark = index.sparkSession
+    frames = stored(index.select("bundle", "frame").distinct(), "frames")
+    tasks = max(shuffle_partitions(spark), -(-frames.count() // TASK_FRAMES))
+    return map_arrow(frames.repartition(tasks), _read_rows, RECORD_SCHEMA)
 
 
 def _fetch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for page, bundle, frame, offset, length in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            folder, _, name = bundle.rpartition("/")
-            fs, root = _filesystem(folder)
-            with fs.open_input_file(f"{root}/{name}") as source:
-                place, size = seek_table(source)[frame]
-                rows.append((page, read_frame(source, place, size)[offset : offset + length]))
+            rows.append((page, _frame(bundle, frame)[offset : offset + length]))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["page_id", "record"])
 
 
 def fetch_records(wanted: DataFrame) -> DataFrame:
     """The raw records at given index rows, each by one seek."""
-    return wanted.select("page_id", "bundle", "frame", "offset", "length").mapInArrow(_fetch_rows, "page_id long, record binary")
+    return map_arrow(wanted.select("page_id", "bundle", "frame", "offset", "length"), _fetch_rows, "page_id long, record binary")
 
 
-def resolved(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to; revisits take their payload's size and
-    digest from the response they name. Digests are computed from the payload that was read."""
+def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        kinds, headers, bodies = (b.column(c).to_pylist() for c in ("record_type", "header_digest", "payload"))
+        own = [k == "response" for k in kinds]
+        sizes = [len(x) if o else None for x, o in zip(bodies, own, strict=True)]
+        digests = [base32_digest(x) if o else h for x, h, o in zip(bodies, headers, own, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), b.column("record_type"), b.column("refers_to")], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kinds, bodies = b.column(1).to_pylist(), b.column(3).to_pylist()
-            own = [k == "response" for k in kinds]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) if o else None for x, o in zip(bodies, own, strict=True)], pa.int64()), pa.array([base32_digest(x) if o else None for x, o in zip(bodies, own, strict=True)], pa.string()), b.column(1), b.column(2)],
-                ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
-            )
 
-    return records.select("page_id", "record_type", "refers_to", "payload").mapInArrow(digest_rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def resolved(records: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of records that were read.
+
+    A response's size and digest are computed from its payload. A revisit's digest is that of its header; its size is that
+    of the response with that page and that digest, so pages whose id occurs with several payloads are kept apart.
+    """
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    wanted = records.select("page_id", "record_type", "refers_to", "header_digest", "payload")
+    read = stored(map_arrow(wanted, _digest_rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "warc-read")
+    whole, again = read.where("record_type = 'response'"), read.where("record_type = 'revisit'")
+    used = again.select(F.col("refers_to").alias("used"), F.col("payload_digest").alias("digest")).distinct()
+    bodies = whole.join(used, (F.col("page_id") == F.col("used")) & (F.col("payload_digest") == F.col("digest")), "left_semi")
+    bodies = bodies.groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("size"))
+    bodies = bodies.select(rekeyed("of").alias("of"), F.concat("digest", F.lit("")).alias("digest"), "size")
+    found = again.join(bodies, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("digest")), "left")
+    return whole.select(names).unionByName(found.withColumn("payload_bytes", F.col("size")).select(names))
 
 
 def page_digests(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the pages, read the archives back, and give each page's digest row."""
-    spark = pages.sparkSession
-    index = write_bundles(pages, folder or new_folder(spark, "warc"))
-    read = stored(resolved(read_bundles(index)), "warc-read")
-    whole = read.where("record_type = 'response'")
-    again = read.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
-    bodies = whole.join(again.select(F.col("refers_to").alias("used")).distinct(), F.col("page_id") == F.col("used"), "left_semi")
-    bodies = bodies.groupBy(F.col("page_id").alias("of")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
-    bodies = bodies.select(rekeyed("of").alias("of"), "payload_bytes", "payload_digest")
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return whole.select(names).unionByName(again.join(bodies, F.col("refers_to") == F.col("of"), "left").select(names))
+    return resolved(read_bundles(write_bundles(pages, folder or new_folder(pages.sparkSession, "warc"))))
 
 
 def oracle_sql() -> str:
