@@ -1,8 +1,8 @@
 """Language identification by nearest centroids.
 
 A text becomes a unit vector of TF-IDF weights of hashed byte n-grams (its letters, lower case). Each
-language has several centroids, found by spherical k-means on a bounded sample of its labelled rows; a text takes the
-language of the centroid with the largest cosine, and is flagged `rejected` if it is farther from it than
+language has several centroids, found by spherical k-means on a bounded sample of its distinct labelled texts; a text
+takes the language of the centroid with the largest cosine, and is flagged `rejected` if it is farther from it than
 nearly all training texts of that language are.
 """
 
@@ -14,10 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most about this many rows of a language, and of all, are used for fitting; chosen by a hash of the text.
+from guardlake.llm.common import map_arrow, stored
+
+#: At most this many distinct texts of a language, and about so many of all, are used for fitting: those with the smallest
+#: hashes. Every language has one at least; with more languages than SAMPLE_ROWS, the most frequent ones are learned.
 LANGUAGE_ROWS, SAMPLE_ROWS = 400, 20_000
 CENTROIDS = 4
 BUCKETS = 1 << 12
@@ -78,20 +81,48 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def _vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, hash, v) of each (lang, hash) of the partition once; there are as many as the sample has, at most."""
+    seen: set[tuple[str, int]] = set()
     for b in batches:
-        langs, texts = b.column(0).to_pylist(), [letters(t) for t in b.column(1).to_pylist()]
-        rows = [(lang, gram_counts(t).astype(np.float16).tobytes()) for lang, t in zip(langs, texts, strict=True) if t]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "v"])
+        rows = []
+        for key, text in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(2).to_pylist(), strict=True):
+            if key not in seen:
+                seen.add(key)
+                rows.append((*key, gram_counts(letters(text)).astype(np.float16).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["lang", "hash", "v"])
+
 
+def sample(rows: DataFrame, language_rows: int = LANGUAGE_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(lang, hash) of the texts that are learned: of each language the distinct texts with the smallest hashes.
 
-def fit(rows: DataFrame) -> Model:
+    Hashes below a share of the range are gathered, the share twice what the estimated number of distinct texts asks
+    for, and doubled for languages that had too few; what is gathered is bounded by the sample however often texts repeat.
+    """
+    spark = rows.sparkSession
+    keyed = rows.select("lang", F.xxhash64("text").alias("hash"))
+    counts = keyed.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("d")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()
+    each = max(1, min(language_rows, sample_rows // max(1, len(counts))))
+    found, shares = None, {r["lang"]: min(1.0, 2.0 * each / max(1, r["d"])) for r in counts}
+    while shares:
+        wanted = spark.createDataFrame([(lang, -(1 << 63) + (int(share * (1 << 53)) << 11) - 1) for lang, share in sorted(shares.items())], "l string, most long")
+        below = keyed.join(F.broadcast(wanted), F.col("lang") == F.col("l")).where("hash <= most").select("lang", "hash").distinct()
+        ranked = below.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("rank") <= each)
+        got = stored(ranked.select("lang", "hash"), "sample")
+        enough = {r["lang"]: r["n"] for r in got.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        done = [lang for lang, share in shares.items() if share >= 1 or enough.get(lang, 0) >= each]
+        part = got.where(F.col("lang").isin(done)) if len(done) < len(shares) else got
+        found = part if found is None else found.unionByName(part)
+        shares = {lang: min(1.0, 4 * share) for lang, share in shares.items() if lang not in set(done)}
+    return found if found is not None else keyed.limit(0)
+
+
+def fit(rows: DataFrame, language_rows: int = LANGUAGE_ROWS, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on a bounded sample of rows (text, lang); rows without lang, text or letters teach nothing."""
-    rows = rows.where("lang is not null and text is not null").select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS // 20).collect()}
-    each = min(LANGUAGE_ROWS, SAMPLE_ROWS // max(1, len(counts)))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 20, (each << 20) // n))]) if counts else F.create_map()
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")]) if counts else rows.limit(0)
-    found = sorted((r["lang"], bytes(r["v"])) for r in drawn.mapInArrow(_vector_rows, "lang string, v binary").collect())
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    chosen = sample(rows, language_rows, sample_rows).select(F.col("lang").alias("l"), F.col("hash").alias("h"))
+    texts = rows.select("lang", F.xxhash64("text").alias("hash"), "text").join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & (F.col("hash") == F.col("h"))).select("lang", "hash", "text")
+    vectors = map_arrow(texts, _vector_rows, "lang string, hash long, v binary").groupBy("lang", "hash").agg(F.max("v").alias("v"))
+    found = sorted((r["lang"], bytes(r["v"])) for r in vectors.collect())
     languages = sorted({lang for lang, _ in found})
     x = np.stack([np.frombuffer(v, np.float16) for _, v in found]).astype(np.float32) if found else np.zeros((0, BUCKETS), np.float32)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
@@ -122,7 +153,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     Null texts and texts without letters are `und` with score 0, and so is everything if nothing could be learned.
     Equal texts get equal answers; ties go to the first language in order. Extra columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_predict_rows(model), "doc_id long, lang_pred string, score double, rejected boolean")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _predict_rows(model), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: str = "doc_id"):
