@@ -9,8 +9,8 @@
    without forming their pairs; the exact size of what it shares with the lead is kept.
 3. A pair's sketches are compared batch by batch; it is dropped as soon as the posterior probability of
    reaching the threshold falls below MISS. It is also dropped where exact bounds exclude it: what the two can share is
-   at most what both share with a common lead, and what each has beside the lead and not alone. Survivors are verified
-   exactly on their whole sets.
+   at most what neither lacks of a common lead's set, and what both have beside it; what each lacks and has beside is
+   known as a bit map of hash buckets. Survivors are verified exactly on their whole sets.
 4. Components of verified links. Where a band still holds several components, each member outside the component of
    the band's lead is compared with the members of the others, by the same tests inside the join, on sketches and
    counts alone; sets are fetched for survivors. Nothing is capped; components are then final.
@@ -45,6 +45,9 @@ BROADCAST_ROWS = 500_000
 NO_ID = -(1 << 63)
 #: Shingle hashes that one batch of sets holds.
 BATCH_HASHES = 1 << 18
+#: Longs of a bit map of hash buckets.
+MAP_LONGS = 4
+MAPS = [f"{p}{j}" for p in "mb" for j in range(MAP_LONGS)]
 SKETCH = [f"k{j}" for j in range(SKETCH_LONGS)]
 
 
@@ -144,14 +147,31 @@ def _plausible(a: str, b: str, percent: int) -> Column:
     def shared(x: str) -> Column:
         return F.col(f"{x}.n") - F.when(counted, F.col(f"{x}.own")).otherwise(0)
 
-    same_lead = (F.col(f"{a}.lead") == F.col(f"{b}.lead")) & (F.col(f"{a}.inner") >= 0) & (F.col(f"{b}.inner") >= 0)
-    inside = F.least(F.col(f"{a}.inner"), F.col(f"{b}.inner"))
-    beside = F.least(shared(a) - F.col(f"{a}.inner"), shared(b) - F.col(f"{b}.inner"))
+    def ones(prefix: str, a: str, b: str, but: bool) -> Column:
+        """Buckets of the bit maps of both (or of a's but b's): there is a shingle at least in each."""
+        words = [(F.col(f"{a}.{prefix}{j}"), F.col(f"{b}.{prefix}{j}")) for j in range(MAP_LONGS)]
+        return reduce(Column.__add__, [F.bit_count(x.bitwiseAND(F.bitwise_not(y)) if but else x.bitwiseOR(y)) for x, y in words])
+
+    def beside(x: str, y: str) -> Column:
+        alone = F.greatest(F.when(counted, F.col(f"{x}.own")).otherwise(0), ones("b", x, y, True))
+        return F.col(f"{x}.n") - F.col(f"{x}.inner") - F.least(alone, F.col(f"{x}.n") - F.col(f"{x}.inner"))
+
+    inside = F.least(F.col(f"{a}.inner"), F.col(f"{b}.inner"), F.col(f"{a}.size") - ones("m", a, b, False))
     most = F.least(shared(a), shared(b))
-    most = F.when(same_lead, F.least(most, inside + F.greatest(beside, F.lit(0)))).otherwise(most)
+    most = F.when(F.col(f"{a}.lead") == F.col(f"{b}.lead"), F.least(most, inside + F.least(beside(a, b), beside(b, a)))).otherwise(most)
     return reduce(Column.__and__, tests, most * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - most) * percent)
 
 
+def _bit_map(hashes: Column, prefix: str) -> list[Column]:
+    """A bit for each of 64 * MAP_LONGS buckets that a hash falls into, as longs named with the prefix."""
+
+    def long(j: int) -> Column:
+        own = F.filter(hashes, lambda h: F.pmod(F.shiftright(h, 6), F.lit(MAP_LONGS)) == j)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))))
+
+    return [long(j).alias(f"{prefix}{j}") for j in range(MAP_LONGS)]
+
+
 def _key(doc: str = "doc_id") -> Column:
     return F.coalesce(F.col(f"`{doc}`").cast("long"), F.lit(NO_ID))
 
@@ -200,12 +220,17 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return sets.join(many, F.col("rep") == F.col("rep_"), "left_anti").unionByName(again)
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) with the sizes of their sets and of what they share, from whole sets."""
+def _measured(pairs: DataFrame, sets: DataFrame, maps: bool = False) -> DataFrame:
+    """The pairs (u, v) with the sizes of their sets and of what they share, from whole sets; and, if asked for, bit maps
+    of what v lacks of u's set and has beside it."""
     left = sets.select(rekeyed("rep").alias("u_"), F.col("hashes").alias("u_set"))
     right = sets.select(rekeyed("rep").alias("v_"), F.col("hashes").alias("v_set"))
     both = pairs.join(left, F.col("u") == F.col("u_")).join(right, F.col("v") == F.col("v_"))
-    return both.select("u", "v", F.size("u_set").alias("nu"), F.size("v_set").alias("nv"), F.size(F.array_intersect("u_set", "v_set")).cast("long").alias("inner"))
+    sizes = [F.size("u_set").alias("nu"), F.size("v_set").alias("nv"), F.size(F.array_intersect("u_set", "v_set")).cast("long").alias("inner")]
+    if not maps:
+        return both.select("u", "v", *sizes)
+    apart = both.select("u", "v", *sizes, F.array_except("u_set", "v_set").alias("lacks"), F.array_except("v_set", "u_set").alias("beside"))
+    return apart.select("u", "v", "nu", "nv", "inner", *_bit_map(F.col("lacks"), "m"), *_bit_map(F.col("beside"), "b"))
 
 
 def _reaches(percent: int) -> Column:
@@ -282,12 +307,15 @@ def _linked(reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     leads = ranked.groupBy("band").agg(F.min(F.struct("own", "rep")).alias("lead")).select(rekeyed("band").alias("band_"), "lead")
     members = stored(ranked.join(leads, F.col("band") == F.col("band_")).select("band", "rep", "lead"), "members")
     star = stored(members.groupBy("rep").agg(F.min("lead").alias("lead")).select("rep", F.col("lead.rep").alias("lead")), "leads")
-    measured = stored(_measured(star.where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")), sets), "star")
+    measured = stored(_measured(star.where("rep <> lead").select(F.col("lead").alias("u"), F.col("rep").alias("v")), sets, maps=True), "star")
     links = measured.where(_reaches(percent)).select("u", "v")
     labels = components(links)
-    facts = star.join(measured.select(rekeyed("v").alias("v_"), "inner"), F.col("rep") == F.col("v_"), "left").select(F.col("rep").alias("r1"), "lead", "inner")
-    facts = facts.join(own.select(rekeyed("rep").alias("r2"), "own"), F.col("r1") == F.col("r2"), "left").select(rekeyed("r1").alias("r1"), "lead", "inner", F.coalesce("own", F.lit(-1)).alias("own"))
-    data = stored(data.join(facts, F.col("rep") == F.col("r1")).select("rep", "n", *SKETCH, "own", "lead", F.when(F.col("lead") == F.col("rep"), F.col("n")).otherwise(F.col("inner")).alias("inner")), "data")
+    facts = star.join(measured.select(rekeyed("v").alias("v_"), "nu", "inner", *MAPS), F.col("rep") == F.col("v_"), "left").drop("v_")
+    facts = facts.join(own.select(rekeyed("rep").alias("rep_"), "own"), F.col("rep") == F.col("rep_"), "left").select(rekeyed("rep").alias("r"), "lead", "nu", "inner", "own", *MAPS)
+    data = data.join(facts, F.col("rep") == F.col("r")).select(
+        "rep", "n", *SKETCH, F.coalesce("own", F.lit(-1)).alias("own"), "lead", F.coalesce("nu", "n").cast("long").alias("size"), F.coalesce("inner", "n").alias("inner"), *[F.coalesce(c, F.lit(0)).alias(c) for c in MAPS]
+    )
+    data = stored(data, "data")
     pairs = stored(_cross_pairs(_open_members(members.select("band", "rep", F.col("lead.rep").alias("lead")), labels), data, percent), "pairs")
     more = stored(_measured(pairs, sets).where(_reaches(percent)).select("u", "v"), "links")
     return labels if more.isEmpty() else _merged(labels, more)
