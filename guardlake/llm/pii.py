@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from guardlake.llm.common import map_arrow
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -118,12 +120,16 @@ _SPELLED_PART = re.compile(rf"(?i)(double|triple)?[ -]?({_WORD})(?!\w)")
 _AT = r"(?:at|arroba|arobase|ät)"
 _DOT = r"(?:dot|punto|point|punkt)"
 _BRACKETS = re.compile(rf"(?i)[ ]?[\[({{<][ ]?(?:({_AT}|@)|({_DOT}|\.))[ ]?[\])}}>][ ]?")
-# Bare words: an English "at" goes with "dot" alone, as in "at the point of" there is no address.
+# Top-level domains that are no common words.
+_ENDS = ("com", "org", "net", "edu", "gov", "info", "biz", "de", "fr", "es", "eu", "ch", "uk")
+# Bare words: an English "at" goes with "dot", as in "at the point of" there is no address; with another word for the
+# mark it needs a known top-level domain behind. With a plain "." it counts for nothing: "look at example.com".
 _SPACED_AT = re.compile(
     "|".join(
         rf"(?i:(?<=[a-z0-9])[ _-]{at}[ _-](?=[a-z0-9-]+(?:(?:\.|[ _-]{dot}[ _-])[a-z0-9-]+)*[ _-]{dot}[ _-][a-z]))"
         for at, dot in (("at", "dot"), ("(?:arroba|arobase|ät)", _DOT))
     )
+    + rf"|(?i:(?<=[a-z0-9])[ _-]at[ _-](?=[a-z0-9-]+(?:(?:\.|[ _-]{_DOT}[ _-])[a-z0-9-]+)*[ _-]{_DOT}[ _-](?:{'|'.join(_ENDS)})(?![a-z0-9])))"
 )
 _SPACED_DOT = re.compile(rf"(?i)(?<=[a-z0-9])[ _-]{_DOT}[ _-](?=[a-z0-9])")
 _HAS_DOT = re.compile(rf"(?i)[ _-]{_DOT}[ _-]")
@@ -195,11 +201,14 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
             now = layers[-1].text
     out = []
     if layers:
+        known = {k: ([a for j, a, _ in base if j == k], [b for j, _, b in base if j == k]) for k in KINDS}
         for kind, start, end in base_spans(now):
             plain = now[start:end]
             for layer in reversed(layers):
                 start, end = layer.back(start, end)
-            if text[start:end] != plain and not any(k == kind and a <= start and end <= b for k, a, b in base):
+            starts, ends = known[kind]  # spans of a kind do not overlap
+            at = bisect_right(starts, start) - 1
+            if text[start:end] != plain and not (at >= 0 and end <= ends[at]):
                 out.append((kind, start, end))
     return out
 
@@ -224,13 +233,13 @@ def find_pii(docs: DataFrame) -> DataFrame:
     Null and empty texts have none. Repeated rows are each searched; extra columns are ignored; equal starts
     are ordered email, ip, card, phone. Work is linear in the text, however long.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_find_rows, f"doc_id long, base {_SPANS}, added {_SPANS}")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _find_rows, f"doc_id long, base {_SPANS}, added {_SPANS}")
 
 
 def span_digests(found: DataFrame) -> DataFrame:
     """Counts of base spans by kind, the digest of their list, and the list of all spans.
 
-    n_email, n_ip, n_card, n_phone count the base spans, as base_sha256 covers them; n_added the others.
+    n_email, n_ip, n_card, n_phone count the base spans, as base_sha256 covers them; n_added the others, n_spans all.
     """
 
     def listed(spans):
@@ -249,4 +258,5 @@ def span_digests(found: DataFrame) -> DataFrame:
         F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         listed(every).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
