@@ -2,7 +2,8 @@
 
 The reader resynchronises on frame headers (a header counts when the next one follows where its length
 says, or the stream ends there), skips ID3 tags, reads Xing/Info/VBRI tables, verifies the CRC of
-protected frames, and gives exact durations in samples and the byte offset of every frame.
+protected frames of layers I and III, and gives exact durations in samples and the byte offset of every frame. The CRC of
+layer II covers bits whose number depends on the allocation; such frames are counted as unchecked.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from guardlake.llm.common import map_arrow
+
 # Fixed values of the MPEG audio standard: kbit/s by (MPEG-1 or later, layer), samples per second by version.
 BITRATES = {
     (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -43,6 +46,7 @@ class Header:
     length: int
     samples: int
     side: int
+    covered: int  # bytes behind the checksum that it covers; 0 if they are not known
 
 
 @lru_cache(4096)
@@ -60,7 +64,9 @@ def parse_header(raw: bytes) -> Header | None:
     length = (12000 * kbps // rate + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbps // rate + padding
     mono = raw[3] >> 6 == 3
     side = 0 if layer != 3 else (17 if mono else 32) if version == 1 else (9 if mono else 17)
-    return Header(version, layer, not raw[1] & 1, kbps, rate, length, samples, side)
+    joint = 4 * (raw[3] >> 4 & 3) + 4 if raw[3] >> 6 == 1 else 32  # subbands that a layer I frame codes for each channel
+    covered = side if layer == 3 else 16 if layer == 1 and mono else (joint * 8 + (32 - joint) * 4) // 8 if layer == 1 else 0
+    return Header(version, layer, not raw[1] & 1, kbps, rate, length, samples, side, covered)
 
 
 @lru_cache(4096)
@@ -88,6 +94,7 @@ class Audio:
     offsets: list[int] = field(default_factory=list)
     resyncs: int = 0
     bad_crc: int = 0
+    unchecked_crc: int = 0
     main: bytes = b""
 
 
@@ -166,7 +173,9 @@ def read_audio(data: bytes) -> Audio:
         body = 4
         if h.protected:
             body = 6
-            if h.layer == 3 and crc16(frame[2:4] + frame[6 : 6 + h.side]) != int.from_bytes(frame[4:6], "big"):
+            if not h.covered:
+                out.unchecked_crc += 1
+            elif crc16(frame[2:4] + frame[6 : 6 + h.covered]) != int.from_bytes(frame[4:6], "big"):
                 out.bad_crc += 1
         out.offsets.append(at)
         out.samples += h.samples
@@ -222,24 +231,24 @@ def _encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode_texts(docs: DataFrame) -> DataFrame:
     """doc_id and media: each text's UTF-8 bytes (null: none), padded, as an MPEG stream."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_encode_rows, "doc_id long, media binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), _encode_rows, "doc_id long, media binary")
 
 
-AUDIO_SCHEMA = "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, frames long, samples long, seconds double, seek_offsets array<long>, bad_crc long, resyncs long, tags map<string,string>, feature string"
+AUDIO_SCHEMA = "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, frames long, samples long, seconds double, seek_offsets array<long>, bad_crc long, unchecked_crc long, resyncs long, vbr_kind string, vbr_frames long, vbr_bytes long, tags map<string,string>, feature string"
 
 
 def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("frames", pa.int64()), ("samples", pa.int64()), ("seconds", pa.float64()), ("seek_offsets", pa.list_(pa.int64())), ("bad_crc", pa.int64()), ("resyncs", pa.int64()), ("tags", pa.map_(pa.string(), pa.string())), ("feature", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("frames", pa.int64()), ("samples", pa.int64()), ("seconds", pa.float64()), ("seek_offsets", pa.list_(pa.int64())), ("bad_crc", pa.int64()), ("unchecked_crc", pa.int64()), ("resyncs", pa.int64()), ("vbr_kind", pa.string()), ("vbr_frames", pa.int64()), ("vbr_bytes", pa.int64()), ("tags", pa.map_(pa.string(), pa.string())), ("feature", pa.string())])
     for b in batches:
         rows = []
         for doc, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if media is None:
-                rows.append((doc, *[None] * 12))
+                rows.append((doc, *[None] * (len(schema) - 1)))
                 continue
             a = read_audio(media)
             payload = a.main[: int(a.tags.get("TXXX:payload", len(a.main)))]
             n = a.tags.get("TXXX:source")
-            rows.append((doc, int(n) if n else None, payload, len(media), hashlib.sha256(media).hexdigest(), len(a.offsets), a.samples, a.seconds, a.offsets, a.bad_crc, a.resyncs, list(a.tags.items()), feature_of(a)))
+            rows.append((doc, int(n) if n else None, payload, len(media), hashlib.sha256(media).hexdigest(), len(a.offsets), a.samples, a.seconds, a.offsets, a.bad_crc, a.unchecked_crc, a.resyncs, *((a.vbr or {}).get(k) for k in ("kind", "frames", "bytes")), list(a.tags.items()), feature_of(a)))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
@@ -249,7 +258,7 @@ def parse_audio(media: DataFrame) -> DataFrame:
     A null stream gives nulls; bytes without any frame give zero frames. Repeated rows are each parsed;
     extra columns are ignored.
     """
-    return media.select(F.col("doc_id").cast("long"), F.col("media").cast("binary")).mapInArrow(_parse_rows, AUDIO_SCHEMA)
+    return map_arrow(media.select(F.col("doc_id").cast("long"), F.col("media").cast("binary")), _parse_rows, AUDIO_SCHEMA)
 
 
 def digests(parsed: DataFrame) -> DataFrame:
