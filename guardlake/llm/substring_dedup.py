@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guardlake.llm.common import rekeyed
+from guardlake.llm.common import free_names, map_arrow, rekeyed, stored
 
 MIN_WORDS, LONG_WORDS = 30, 50
 #: A sentence ends after a mark and white space, or at a line end.
@@ -82,13 +82,18 @@ def _span_rows(min_words: int, long_words: int):
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """(doc, tag, first, last, source) of every span that is not its first occurrence; source is the first one's document."""
+    """(doc, tag, first, last, source) of every span that is not its first occurrence; source is the first one's document.
+
+    Spans are a table of their own, so texts are split and hashed once; hashes are counted before any place is compared.
+    """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("tag"), F.col("text").cast("string"))
-    rows = keyed.mapInArrow(_span_rows(min_words, long_words), "doc long, tag long, first int, last int, k1 long, k2 long")
+    rows = stored(map_arrow(keyed, _span_rows(min_words, long_words), "doc long, tag long, first int, last int, k1 long, k2 long"), "spans")
+    twice = rows.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select(rekeyed("k1").alias("again"))
+    shared = stored(rows.join(twice, F.col("k1") == F.col("again"), "left_semi"), "shared")
     place = F.struct("doc", "tag", "first")
-    once = rows.groupBy("k1", "k2").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1")
+    once = shared.groupBy("k1", "k2").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1")
     once = once.select(rekeyed("k1").alias("j1"), rekeyed("k2").alias("j2"), "origin")
-    later = rows.join(once, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).where(place != F.col("origin"))
+    later = shared.join(once, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))).where(place != F.col("origin"))
     return later.select("doc", "tag", "first", "last", F.col("origin.doc").alias("source"))
 
 
@@ -132,10 +137,11 @@ def dedup_spans(docs: DataFrame, min_words: int = MIN_WORDS, long_words: int = L
     the same. A null doc_id sorts first. Extra columns may have any names but those added here, which
     replace them.
     """
-    names = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "sources")]
-    marks = repeated_spans(docs, min_words, long_words).groupBy("doc", "tag").agg(F.collect_set(F.struct("first", "last")).alias("_cuts"), F.array_sort(F.collect_set("source")).alias("_sources"))
-    marks = marks.select(rekeyed("doc").alias("_d"), rekeyed("tag").alias("_t"), "_cuts", "_sources")
-    here = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), F.xxhash64("text").alias("_tag"))
-    joined = here.join(marks, (F.col("_doc") == F.col("_d")) & (F.col("_tag") == F.col("_t")), "left").select(*[F.col(f"`{c}`") for c in names], "_cuts", "_sources")
+    names = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed", "sources")]
+    doc, tag, d, t, cuts, sources = free_names(docs, "doc", "tag", "d", "t", "cuts", "sources_")
+    marks = repeated_spans(docs, min_words, long_words).groupBy("doc", "tag").agg(F.collect_set(F.struct("first", "last")).alias(cuts), F.array_sort(F.collect_set("source")).alias(sources))
+    marks = marks.select(rekeyed("doc").alias(d), rekeyed("tag").alias(t), cuts, sources)
+    here = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias(doc), F.xxhash64("text").alias(tag))
+    joined = here.join(marks, (F.col(doc) == F.col(d)) & (F.col(tag) == F.col(t)), "left").select(*[F.col(f"`{c}`") for c in names], cuts, sources)
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in names]).schema)
-    return joined.mapInArrow(_cut_rows(names), f"{out}, n_sentences long, n_removed long, sources array<long>")
+    return map_arrow(joined, _cut_rows(names), f"{out}, n_sentences long, n_removed long, sources array<long>")
