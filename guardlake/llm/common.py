@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: What punctuation becomes before words are split: ASCII marks turn to spaces.
 WORD_BREAKS = bytes(32 if (b < 128 and not chr(b).isalnum()) else b for b in range(256))
@@ -63,7 +64,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow over batches of about BATCH_BYTES (one row at least), so a worker's memory does not depend on how
     many rows or how long texts a partition has. The bound is a setting of the session and stays."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -103,9 +104,12 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    x *= _MIX[3]
+    x ^= x >> np.uint64(32)
+    x *= _MIX[3]
+    x ^= x >> np.uint64(32)
+    return x
 
 
 #: Words longer than this are hashed one by one.
@@ -141,6 +145,13 @@ def word_hashes(text: bytes) -> np.ndarray:
     return out
 
 
+def words_of_all(texts: list[bytes]) -> list[np.ndarray]:
+    """The word hashes of each text, computed over all of them at once."""
+    hashes, starts = word_hashes(joined := b"\n".join(texts)), word_bounds(joined)[0]
+    first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    return [hashes[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
 def loose_words(text: str) -> bytes:
     """Lower-cased text in which ASCII punctuation is white space; `word_hashes` takes its words."""
     return text.lower().encode("utf-8", "surrogatepass").translate(WORD_BREAKS)
@@ -154,8 +165,9 @@ def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     width = min(k, n)
     acc = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
-        acc = mix64(acc ^ hashes[i : n - width + 1 + i]) * _MIX[i % 5]
-    return acc
+        acc *= _MIX[i % 5]
+        acc += hashes[i : n - width + 1 + i]
+    return mix64(acc)
 
 
 def tokenizer_path(name: str) -> str:
