@@ -1,16 +1,19 @@
 """Importance resampling with hashed n-gram models.
 
-Two hashed n-gram views of a text: distinct words (ASCII punctuation off, lower case) and byte trigrams (case
-and marks as they stand). Labelled texts give a target model (quality 1, not toxic) and a model of each kind
-of raw text that is not wanted (toxic; low quality). Counts over the whole corpus are the common prior of
-all models, so n-grams that the labelled rows hardly show get a ratio near one, and n-grams whose counts do
-not differ significantly get exactly one. A document's importance is its log likelihood ratio of the target
-against the raw kind that explains it best; documents are sampled without replacement by Gumbel top-k.
+A text's n-grams are its distinct words (ASCII punctuation off, lower case) and the distinct runs of one to three word
+shapes (letters of a case, digits and marks as they follow each other), hashed to buckets. The target model counts, for
+each bucket, the labelled texts worth having (quality 1, not toxic); the raw model counts all texts of the corpus. The log
+ratio of a bucket is log p_target - log p_raw, taken as zero where the two counts differ by less than SHRINK deviations;
+a document's importance is the sum over its n-grams, and k documents are sampled without replacement by Gumbel top-k.
+
+A step of its own, `unwanted`, holds labelled toxic and low-quality texts against the target in the same way, and rejects
+documents that one of the two explains better by more than MARGIN, whatever the draw said.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,38 +23,39 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guardlake.llm.common import loose_words, shingle_hashes, stored, word_hashes
+from guardlake.llm.common import free_names, loose_words, map_arrow, shingle_hashes, stored, word_hashes
 
-#: The model is fitted on at most about this many labelled rows, chosen by a hash of their doc_id.
+#: The models are fitted on at most about this many labelled rows, chosen by a hash of their doc_id.
 SAMPLE_ROWS = 20_000
-WORD_BITS, GRAM_BITS = 20, 16
-#: Weight of the corpus prior, in n-grams; and standard deviations that a ratio must be off to count.
-PRIOR, SIGNIFICANT = 200.0, 3.5
-#: Log ratio below which a document counts as explained by unwanted text: prior odds of e**6 for the target.
-MARGIN = 6.0
-#: Scale of the Gumbel noise.
-NOISE = 0.25
+WORD_BITS, SHAPE_BITS = 20, 18
+BUCKETS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
+#: Deviations that a bucket's count must be off for its ratio to count: in the draw, and in the step against unwanted text.
+SHRINK, SIGNIFICANT = 2.0, 4.0
+#: Log ratio beyond which a document counts as explained by unwanted text.
+MARGIN = 10.0
+#: The draw takes the share of target texts among the labelled ones and so much more of all documents.
+DRAW_SLACK = 0.05
 TARGET, LOW, TOXIC = 1, 2, 3
-_W = 1 << WORD_BITS
+_SHAPES = bytes(ord("A") if chr(b).isupper() and b < 128 else ord("a") if b >= 128 or chr(b).isalpha() else ord("9") if chr(b).isdigit() else b for b in range(256))
+_RUNS = re.compile(rb"([aA9])\1+")
 
 
-def word_buckets(text: str) -> np.ndarray:
-    """Buckets of the distinct words."""
-    return (np.unique(word_hashes(loose_words(text))) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-
-
-def gram_buckets(text: bytes) -> np.ndarray:
-    """A bucket for every byte trigram."""
-    b = np.frombuffer(text, np.uint8).astype(np.uint32)
-    return (((b[:-2] | b[1:-1] << 8 | b[2:] << 16) * np.uint32(0x9E3779B1)) >> np.uint32(32 - GRAM_BITS)).astype(np.int64)
+def ngram_buckets(text: str | None) -> np.ndarray:
+    """The distinct buckets of a text's words and shape n-grams, in order."""
+    if not text:
+        return np.zeros(0, np.int64)
+    words = word_hashes(loose_words(text)) >> np.uint64(64 - WORD_BITS)
+    shapes = word_hashes(_RUNS.sub(rb"\1", text.encode("utf-8", "surrogatepass").translate(_SHAPES)))
+    runs = np.concatenate([shingle_hashes(shapes, k) for k in (1, 2, 3) if len(shapes) >= k] or [shapes]) >> np.uint64(64 - SHAPE_BITS)
+    return np.concatenate([np.unique(words.astype(np.int64)), np.unique(runs.astype(np.int64)) + (1 << WORD_BITS)])
 
 
 def labelled_classes(labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, kind) of about `most` labelled documents; several rows of one count by their worst label."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    share = min(1.0, most / max(1, known.count()))
+    share = min(1.0, most / max(1, known.count()))  # some rows stay, however many there are
     kind = F.when(F.col("t") > 0, TOXIC).when(F.col("q") > 0, TARGET).otherwise(LOW)
-    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col("doc_id").cast("long").alias("label_id"), kind.alias("kind"))
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < max(1, int(share * (1 << 40)))).select(F.col("doc_id").cast("long").alias("label_id"), kind.alias("kind"))
 
 
 def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,42 +69,51 @@ def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of one partition: (bucket, kind, n); kind 0 is the whole corpus."""
-    size = _W + (1 << GRAM_BITS)
-    counts = {0: np.zeros(size, np.int64)}
+    counts = {0: np.zeros(BUCKETS, np.int32)}
     for b in batches:
         for kind, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if text:
-                words, grams = word_buckets(text), gram_buckets(text.encode("utf-8", "surrogatepass"))
-                for k in (0, kind) if kind else (0,):
-                    if k not in counts:
-                        counts[k] = np.zeros(size, np.int64)
-                    np.add.at(counts[k], words, 1)
-                    np.add.at(counts[k], grams + _W, 1)
+            buckets = ngram_buckets(text)
+            for k in (0, kind) if kind else (0,):
+                if k not in counts:
+                    counts[k] = np.zeros(BUCKETS, np.int32)
+                counts[k][buckets] += 1
     for kind, n in counts.items():
         at = np.flatnonzero(n)
         for lo in range(0, len(at), 1 << 16):
             part = at[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(len(part), kind, np.int32)), pa.array(n[part])], ["bucket", "kind", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(len(part), kind, np.int32)), pa.array(n[part].astype(np.int64))], ["bucket", "kind", "n"])
 
 
 @dataclass
 class Model:
-    """Log ratios of target against toxic text by word bucket, and against low quality by trigram bucket."""
-
-    words: np.ndarray
-    grams: np.ndarray
-
-    def log_ratio(self, text: str | None) -> float:
-        if not text:
-            return 0.0
-        return float(min(self.words[word_buckets(text)].sum(dtype=np.float64), self.grams[gram_buckets(text.encode("utf-8", "surrogatepass"))].sum(dtype=np.float64)))
-
-
-def _ratio(bad: str, totals: dict[str, float]) -> Column:
-    """log p_target / p_bad of a bucket under the corpus prior; 0 unless its counts differ significantly."""
-    n_t, n_b, n_raw = totals["target"], totals[bad], totals["raw"]
-    prior = F.lit(PRIOR) * F.col("raw") / F.lit(max(n_raw, 1.0)) + F.lit(1e-12)
-    ratio = F.log((F.col("target") + prior) / F.lit(n_t + PRIOR)) - F.log((F.col(bad) + prior) / F.lit(n_b + PRIOR))
+    """Log ratios by bucket: of target against raw text, against toxic and against low-quality text; and the share of
+    target texts among the labelled ones (1 without any)."""
+
+    raw: np.ndarray
+    toxic: np.ndarray
+    low: np.ndarray
+    share: float = 1.0
+
+    def log_ratios(self, text: str | None) -> tuple[float, float]:
+        """(importance, smaller ratio against unwanted text)."""
+        b = ngram_buckets(text)
+        raw, toxic, low = (float(x[b].sum(dtype=np.float64)) for x in (self.raw, self.toxic, self.low))
+        return raw, min(toxic, low)
+
+
+def raw_ratio(totals: dict[str, float]) -> Column:
+    """log p_target - log p_raw of a bucket, one occurrence added to both; 0 if the target's count is near what raw text
+    lets expect."""
+    expected = F.col("raw") * F.lit(totals["target"] / max(totals["raw"], 1.0))
+    off = F.abs(F.col("target") - expected) / F.sqrt(expected + 0.5)
+    return F.when(off >= SHRINK, F.log((F.col("target") + 1) / (expected + 1))).otherwise(0.0)
+
+
+def unwanted_ratio(bad: str, texts: dict[str, float]) -> Column:
+    """log p_target - log p_bad of a bucket, with the corpus as common prior; 0 unless the counts differ significantly."""
+    n_t, n_b = texts["target"], texts[bad]
+    prior = F.col("raw") / F.lit(max(texts["raw"], 1.0)) + 0.02
+    ratio = F.log((F.col("target") + prior) / F.lit(n_t + 1)) - F.log((F.col(bad) + prior) / F.lit(n_b + 1))
     both, share = F.col("target") + F.col(bad), n_t / max(n_t + n_b, 1.0)
     off = F.abs(F.col("target") - both * share) / F.sqrt(both * (share * (1 - share)) + 0.5)
     return F.when(off >= SIGNIFICANT, ratio).otherwise(0.0)
@@ -109,27 +122,32 @@ def _ratio(bad: str, totals: dict[str, float]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on the labelled rows among `docs`, with counts over all of `docs`.
 
-    Of labelled near copies (equal smallest shingle hash) one counts. Without labels all ratios are one. The
-    labelled rows (bounded by `sample_rows`) are broadcast; the driver receives only significant buckets, of which there
-    are at most as many as buckets.
+    Of labelled near copies (equal smallest shingle hash) one counts. Without labelled target texts all ratios are one.
+    The labelled rows (bounded by `sample_rows`) are broadcast; the driver receives the buckets with a ratio, at most
+    as many as there are buckets.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = F.broadcast(labelled_classes(labels, sample_rows))
-    copies = plain.join(marked, F.col("doc_id") == F.col("label_id")).select("doc_id", F.col("kind").cast("int").alias("kind"), "text").mapInArrow(_copy_keys, "doc_id long, kind int, key long")
+    copies = map_arrow(plain.join(marked, F.col("doc_id") == F.col("label_id")).select("doc_id", F.col("kind").cast("int").alias("kind"), "text"), _copy_keys, "doc_id long, kind int, key long")
     chosen = stored(copies.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "kind")).alias("c")).select("c.*").groupBy(F.col("doc_id").alias("label_id")).agg(F.min("kind").alias("kind")), "labelled")
-    counted = plain.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"), "left").select("kind", "text").mapInArrow(_count_rows, "bucket int, kind int, n long")
+    kinds = {r["kind"]: r["n"] for r in chosen.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    counted = map_arrow(plain.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"), "left").select("kind", "text"), _count_rows, "bucket int, kind int, n long")
 
     def of(kind: int, name: str) -> Column:
         return F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).cast("double").alias(name)
 
     table = stored(counted.groupBy("bucket").agg(of(0, "raw"), of(TARGET, "target"), of(LOW, "low"), of(TOXIC, "toxic")), "ngrams")
-    is_word = F.col("bucket") < _W
-    sums = {r["word"]: r.asDict() for r in table.groupBy(is_word.alias("word")).agg(*[F.sum(c).alias(c) for c in ("raw", "target", "low", "toxic")]).collect()}
-    model = Model(np.zeros(_W, np.float32), np.zeros(1 << GRAM_BITS, np.float32))
-    for word, bad in ((True, "toxic"), (False, "low")):
-        if word in sums and sums[word]["target"] and sums[word][bad]:
-            for bucket, ratio in table.where(is_word == word).select("bucket", _ratio(bad, sums[word]).alias("r")).where("r <> 0").collect():
-                (model.words if word else model.grams)[bucket if word else bucket - _W] = ratio
+    model = Model(*(np.zeros(BUCKETS, np.float32) for _ in range(3)))
+    if kinds.get(TARGET):
+        totals = table.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first().asDict()
+        texts = {"raw": float(max(1, docs.count())), "target": float(kinds[TARGET]), "low": float(kinds.get(LOW, 0)), "toxic": float(kinds.get(TOXIC, 0))}
+        against = {"raw": raw_ratio(totals)} | {bad: unwanted_ratio(bad, texts) for bad in ("toxic", "low") if texts[bad]}
+        ratios = table.select("bucket", *[x.cast("float").alias(name) for name, x in against.items()])
+        found = ratios.where(" or ".join(f"{name} <> 0" for name in against)).toArrow()
+        at = found.column("bucket").to_numpy()
+        for name in against:
+            getattr(model, name)[at] = found.column(name).to_numpy()
+        model.share = kinds[TARGET] / sum(kinds.values())
     return model
 
 
@@ -139,21 +157,23 @@ def gumbel(doc_id: int | None, text: str | None) -> float:
     return -math.log(-math.log(((h >> 11) + 0.5) / (1 << 53)))
 
 
-def _score_rows(model: Model):
+def _score_rows(model: Model, id_at: int, text_at: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ratios = [model.log_ratio(t) for t in texts]
-            keys = [r + NOISE * gumbel(d, t) for d, t, r in zip(docs, texts, ratios, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ratios, pa.float64()), pa.array(keys, pa.float64())], ["doc_id", "log_ratio", "sample_key"])
+            ids, texts = b.column(id_at).to_pylist(), b.column(text_at).to_pylist()
+            found = [model.log_ratios(t) for t in texts]
+            keys = [r + gumbel(d, t) for d, t, (r, _) in zip(ids, texts, found, strict=True)]
+            columns = [pa.array([f[0] for f in found], pa.float64()), pa.array(keys, pa.float64()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [str(i) for i in range(b.num_columns + 3)])
 
     return rows
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, log_ratio and sample_key (log ratio and Gumbel noise) of every document; stored, so read once."""
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return stored(plain.mapInArrow(_score_rows(model), "doc_id long, log_ratio double, sample_key double"), "scores")
+def _scored(docs: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
+    """The rows with log_ratio, sample_key and unwanted, stored, so scored once; and the names of the three."""
+    names = free_names(docs, "log_ratio", "sample_key", "unwanted")
+    types = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{n} double" for n in names)])
+    return stored(map_arrow(docs, _score_rows(model, docs.columns.index("doc_id"), docs.columns.index("text")), types), "scores"), names
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float:
@@ -180,32 +200,33 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float:
             return sorted((r[0] for r in values.where(F.col(column).between(lo, hi)).select(column).collect()), reverse=True)[k - 1]
 
 
-def sample_threshold(scores: DataFrame, margin: float = MARGIN) -> float:
-    """Sample key of the last of the k documents drawn; k is the number whose log ratio says target."""
-    return kth_largest(scores, "sample_key", scores.where(F.col("log_ratio") > -margin).count())
+def draw_size(n: int, model: Model) -> int:
+    """Documents that the draw takes of n, if nothing else is asked for."""
+    return math.ceil(n * min(1.0, model.share + DRAW_SLACK))
 
 
-def resample(docs: DataFrame, labels: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """doc_id, log_ratio, sample_key of the documents drawn.
-
-    Null and empty texts have no n-gram, ratio one, and are drawn like any target text. Repeated rows have equal
-    keys and stay or go together. Extra columns are ignored. Without labels everything is drawn.
-    """
-    scores = score(docs, fit(docs, labels))
-    return scores.where(F.col("sample_key") >= sample_threshold(scores, margin))
+def _sampled(docs: DataFrame, labels: DataFrame, k: int | None, margin: float) -> tuple[DataFrame, list[str]]:
+    """The rows that were drawn and are not explained by unwanted text, with their scores."""
+    model = fit(docs, labels)
+    scored, names = _scored(docs, model)
+    size = draw_size(scored.count(), model) if k is None else k
+    ratio, key, bad = names
+    drawn = scored.where(F.col(key) >= kth_largest(scored, key, size))
+    return drawn.where(F.col(bad) > -margin), names
 
 
-def _kept_rows(model: Model, threshold: float, id_at: int, text_at: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pairs = zip(b.column(id_at).to_pylist(), b.column(text_at).to_pylist(), strict=True)
-            yield b.filter(pa.array([model.log_ratio(t) + NOISE * gumbel(d, t) >= threshold for d, t in pairs], pa.bool_()))
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, margin: float = MARGIN) -> DataFrame:
+    """doc_id, log_ratio, sample_key and unwanted (the smaller log ratio of target against toxic and against low-quality
+    text) of the documents drawn and not rejected. k: how many are drawn; by default `draw_size`.
 
-    return rows
+    Null and empty texts have no n-gram and ratio one. Repeated rows have equal keys and stay or go together, so more
+    than k rows can stay where the last place is shared. Extra columns, whatever their names, are ignored. Without labels
+    everything is drawn.
+    """
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _sampled(plain, labels, k, margin)[0].drop("text")
 
 
-def keep_sample(docs: DataFrame, labels: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """The documents drawn, all columns. Scores are computed again rather than joined: texts are never shuffled."""
-    model = fit(docs, labels)
-    threshold = sample_threshold(score(docs, model), margin)
-    return docs.mapInArrow(_kept_rows(model, threshold, docs.columns.index("doc_id"), docs.columns.index("text")), docs.schema)
+def keep_sample(docs: DataFrame, labels: DataFrame, k: int | None = None, margin: float = MARGIN) -> DataFrame:
+    """The documents that `resample` gives, all columns."""
+    return _sampled(docs, labels, k, margin)[0].select(*[F.col(f"`{c}`") for c in docs.columns])
