@@ -89,13 +89,12 @@ def risk_scores(spark, sf_dir):
     return scan(attacked(spark, sf_dir)).select("doc_id", risk_score(F.col("findings")).alias("score"))
 
 
-@register("findings_by_detector", f"with {sql.scan(_ATTACKED, 'doc_id')} select detector, sum(n)::bigint as n_findings from ({sql.by_detector()}) group by 1 having sum(n) > 0")
+@register("findings_by_detector", f"with {sql.scan(_ATTACKED, 'doc_id')} select key as detector, n as n_findings, texts as n_texts from ({sql.by_detector()}) where n > 0")
 def findings_by_detector(spark, sf_dir):
     return evaluate.findings_by(scan(attacked(spark, sf_dir)), "detector")
 
 
-_TAGS = " ".join(f"when '{k}' then {sql.quote(v)}" for k, v in sql.OWASP.items())
-_BY_TAG = f"select case split_part(detector, '.', 1) {_TAGS} end as owasp, sum(n)::bigint as n_findings from ({sql.by_detector()}) group by 1 having sum(n) > 0"
+_BY_TAG = f"select key as owasp, n as n_findings, texts as n_texts from ({sql.by_owasp()}) where n > 0"
 
 
 @register("findings_by_owasp", f"with {sql.scan(_ATTACKED, 'doc_id')} {_BY_TAG}")

@@ -36,6 +36,7 @@ MARGIN = 10.0
 #: The draw takes the share of target texts among the labelled ones and so much more of all documents.
 DRAW_SLACK = 0.05
 TARGET, LOW, TOXIC = 1, 2, 3
+EVERY_TARGET = 4  # target texts with all their copies, as raw text has them
 _SHAPES = bytes(ord("A") if chr(b).isupper() and b < 128 else ord("a") if b >= 128 or chr(b).isalpha() else ord("9") if chr(b).isdigit() else b for b in range(256))
 _RUNS = re.compile(rb"([aA9])\1+")
 
@@ -71,9 +72,9 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of one partition: (bucket, kind, n); kind 0 is the whole corpus."""
     counts = {0: np.zeros(BUCKETS, np.int32)}
     for b in batches:
-        for kind, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for label, kind, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             buckets = ngram_buckets(text)
-            for k in (0, kind) if kind else (0,):
+            for k in [0, *([kind] if kind else []), *([EVERY_TARGET] if label == TARGET else [])]:
                 if k not in counts:
                     counts[k] = np.zeros(BUCKETS, np.int32)
                 counts[k][buckets] += 1
@@ -104,9 +105,9 @@ class Model:
 def raw_ratio(totals: dict[str, float]) -> Column:
     """log p_target - log p_raw of a bucket, one occurrence added to both; 0 if the target's count is near what raw text
     lets expect."""
-    expected = F.col("raw") * F.lit(totals["target"] / max(totals["raw"], 1.0))
-    off = F.abs(F.col("target") - expected) / F.sqrt(expected + 0.5)
-    return F.when(off >= SHRINK, F.log((F.col("target") + 1) / (expected + 1))).otherwise(0.0)
+    expected = F.col("raw") * F.lit(totals["every"] / max(totals["raw"], 1.0))
+    off = F.abs(F.col("every") - expected) / F.sqrt(expected + 0.5)
+    return F.when(off >= SHRINK, F.log((F.col("every") + 1) / (expected + 1))).otherwise(0.0)
 
 
 def unwanted_ratio(bad: str, texts: dict[str, float]) -> Column:
@@ -122,7 +123,8 @@ def unwanted_ratio(bad: str, texts: dict[str, float]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on the labelled rows among `docs`, with counts over all of `docs`.
 
-    Of labelled near copies (equal smallest shingle hash) one counts. Without labelled target texts all ratios are one.
+    The target model counts labelled texts with all their copies, as the raw model does. In the models against unwanted
+    text, of labelled near copies (equal smallest shingle hash) one counts. Without labelled target texts all ratios are one.
     The labelled rows (bounded by `sample_rows`) are broadcast; the driver receives the buckets with a ratio, at most
     as many as there are buckets.
     """
@@ -131,15 +133,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     copies = map_arrow(plain.join(marked, F.col("doc_id") == F.col("label_id")).select("doc_id", F.col("kind").cast("int").alias("kind"), "text"), _copy_keys, "doc_id long, kind int, key long")
     chosen = stored(copies.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "kind")).alias("c")).select("c.*").groupBy(F.col("doc_id").alias("label_id")).agg(F.min("kind").alias("kind")), "labelled")
     kinds = {r["kind"]: r["n"] for r in chosen.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    counted = map_arrow(plain.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"), "left").select("kind", "text"), _count_rows, "bucket int, kind int, n long")
+    both = F.broadcast(labelled_classes(labels, sample_rows).select(F.col("label_id").alias("any_id"), F.col("kind").cast("int").alias("label")))
+    known = plain.join(both, F.col("doc_id") == F.col("any_id"), "left").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"), "left")
+    counted = map_arrow(known.select("label", "kind", "text"), _count_rows, "bucket int, kind int, n long")
 
     def of(kind: int, name: str) -> Column:
         return F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).cast("double").alias(name)
 
-    table = stored(counted.groupBy("bucket").agg(of(0, "raw"), of(TARGET, "target"), of(LOW, "low"), of(TOXIC, "toxic")), "ngrams")
+    table = stored(counted.groupBy("bucket").agg(of(0, "raw"), of(TARGET, "target"), of(LOW, "low"), of(TOXIC, "toxic"), of(EVERY_TARGET, "every")), "ngrams")
     model = Model(*(np.zeros(BUCKETS, np.float32) for _ in range(3)))
     if kinds.get(TARGET):
-        totals = table.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first().asDict()
+        totals = table.agg(F.sum("raw").alias("raw"), F.sum("every").alias("every")).first().asDict()
         texts = {"raw": float(max(1, docs.count())), "target": float(kinds[TARGET]), "low": float(kinds.get(LOW, 0)), "toxic": float(kinds.get(TOXIC, 0))}
         against = {"raw": raw_ratio(totals)} | {bad: unwanted_ratio(bad, texts) for bad in ("toxic", "low") if texts[bad]}
         ratios = table.select("bucket", *[x.cast("float").alias(name) for name, x in against.items()])

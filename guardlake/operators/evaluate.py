@@ -69,9 +69,15 @@ def replay_by(audit: DataFrame, key: str) -> DataFrame:
 
 
 def findings_by(texts: DataFrame, key: str) -> DataFrame:
-    """Findings and texts with any, by `detector` or `owasp`."""
-    rows = texts.select("*", F.explode("findings").alias("f")).select(F.monotonically_increasing_id().alias("_r"), F.col(f"f.{key}").alias(key))
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_findings"))
+    """Findings, and texts with any, by `detector` or `owasp`.
+
+    Keys leave each text as an array of (key, n); an outer explode keeps the optimizer from asking for non-empty
+    findings below it, which would run the detectors twice.
+    """
+    keys = F.filter(F.transform("findings", lambda f: f[key]), lambda k: k.isNotNull())
+    per = texts.select(keys.alias("k")).select(F.transform(F.array_distinct("k"), lambda d: F.struct(d.alias("key"), F.size(F.filter("k", lambda x: x == d)).alias("n"))).alias("counts"))
+    rows = per.select(F.explode_outer("counts").alias("c")).select(F.col("c.key").alias(key), F.col("c.n").alias("n"))
+    return rows.groupBy(key).agg(F.sum("n").alias("n_findings"), F.count("*").alias("n_texts")).where(F.col(key).isNotNull())
 
 
 def coverage(texts: DataFrame) -> DataFrame:

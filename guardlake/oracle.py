@@ -100,7 +100,18 @@ def decision(policy: Policy, field: str) -> str:
     return f"case {' '.join(out)} else {quote(policy.default) if field == 'action' else 'null'} end"
 
 
-def by_detector() -> str:
-    """Rows (detector, n) of `found`, a row for each rule."""
-    rows = [f"select '{'injection' if r is None else r.detector}' as detector, sum({h_on() + '::int' if r is None else f'n{i}'})::bigint as n from found" for i, r in enumerate(ORDER)]
+def _counts(key_of) -> str:
+    """Rows (key, n, texts) of `found`: findings, and texts with any, for each key of the rules' detectors."""
+    groups: dict[str, list[str]] = {}
+    for i, r in enumerate(ORDER):
+        groups.setdefault(key_of("injection" if r is None else r.detector), []).append(f"{h_on()}::int" if r is None else f"n{i}")
+    rows = [f"select {quote(k)} as key, sum({' + '.join(ns)})::bigint as n, count(*) filter (where {' + '.join(ns)} > 0) as texts from found" for k, ns in groups.items()]
     return " union all ".join(rows)
+
+
+def by_detector() -> str:
+    return _counts(lambda d: d)
+
+
+def by_owasp() -> str:
+    return _counts(lambda d: OWASP[d.split(".")[0]])
