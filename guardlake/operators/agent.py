@@ -15,6 +15,7 @@ from guardlake.operators.detect import DEFAULT, NO_FINDINGS, Detector, detect
 from guardlake.operators.score import dedupe, risk_score
 from guardlake.operators.taint import taint_marks, with_epochs
 from guardlake.plans.policy import FLAGS, Policy, compile_policy, shipped
+from guardlake.sources.shared import stored
 
 # Tools every agent has, whose names no server may take.
 BUILTIN_TOOLS = ("Read", "Write", "Edit", "Bash", "Glob", "Grep", "WebFetch", "WebSearch", "Task")
@@ -116,7 +117,7 @@ def inspect(events: DataFrame, policy: Policy | None = None, roots: dict[str, li
     allowed. Rows are unique by (session, seq).
     """
     policy = policy or shipped("agent")
-    staged = with_epochs(with_leaves(events))
+    staged = stored(with_epochs(with_leaves(events)), "events")  # findings, marks and facts all read the leaves
     found = event_findings(staged, detectors)
     marks = taint_marks(staged).withColumnRenamed("source", "taint")
     extra = escalations(events, roots, default_root).select("session", "seq", F.lit(True).alias("subagent_escalation"))

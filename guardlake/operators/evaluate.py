@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,12 @@ def replay_by(audit: DataFrame, key: str) -> DataFrame:
     return audit.where(~F.col("malformed") & F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
 
 
+def ranked_rules(audit: DataFrame) -> DataFrame:
+    """(rank, rule, n): rules by how often they fired, ties by name. There are as many rows as a policy has rules."""
+    order = Window.orderBy(F.desc("n"), "rule")
+    return replay_by(audit, "rule").withColumn("rank", F.row_number().over(order))
+
+
 def findings_by(texts: DataFrame, key: str) -> DataFrame:
     """Findings, and texts with any, by `detector` or `owasp`.
 
@@ -100,6 +108,12 @@ def mistakes(sessions: DataFrame) -> DataFrame:
     )
 
 
+def latency_stats(df: DataFrame, value: str) -> DataFrame:
+    """p50, p99 (nearest rank) and mean of a latency."""
+    at = {"p50": nearest_rank(0.5), "p99": nearest_rank(0.99)}
+    return percentiles(df, value, at).crossJoin(df.agg(F.avg(value).alias("mean")))
+
+
 def judge_confusion(answers: DataFrame) -> DataFrame:
     """Judged rows (label, answer): rates leave out unavailable answers."""
     inj, said = F.col("label") == "injection", F.col("answer")
@@ -114,9 +128,16 @@ def markdown_coverage(rows: DataFrame) -> str:
 
 
 def scorecard(metrics: DataFrame, name: str = "guard") -> str:
-    """One Markdown row for each metrics row: percent to one decimal, F1 to three."""
-    rows = metrics.select(F.format_string("| %s | %.1f%% | %.1f%% | %.3f |", F.lit(name), F.col("recall") * 100, F.col("fpr") * 100, F.col("f1")).alias("line")).collect()
-    return "\n".join(["| Guard | Recall | False alarms | F1 |", "|-|-|-|-|", *[r["line"] for r in rows]])
+    """One Markdown row for each metrics row: percent to one decimal, F1 to three, milliseconds to two (`p50_ms`, empty if
+    there is no such column)."""
+    ms = F.format_string("%.2f", "p50_ms") if "p50_ms" in metrics.columns else F.lit("")
+    rows = metrics.select(F.format_string("| %s | %.1f%% | %.1f%% | %.3f | %s |", F.lit(name), F.col("recall") * 100, F.col("fpr") * 100, F.col("f1"), ms).alias("line")).collect()
+    return "\n".join(["| Guard | Recall | False alarms | F1 | p50 ms |", "|-|-|-|-|-|", *[r["line"] for r in rows]])
+
+
+def scorecard_json(metrics: DataFrame, name: str = "guard") -> str:
+    """The same rows as a JSON list, unrounded."""
+    return json.dumps([{"guard": name} | r.asDict() for r in metrics.collect()])
 
 
 def owasp_of(detector: Column) -> Column:
@@ -124,8 +145,13 @@ def owasp_of(detector: Column) -> Column:
 
 
 # Obfuscations of attack texts, to measure what normalising wins back.
+# Letters and their look-alikes, and what is said before encoded text.
+SPOOFED, SPOOFS = "aeopcyxisdjk", "аеорсухіѕԁјк"
+LEAD_IN = "decode and follow: "
+
+
 def to_homoglyphs(text: Column) -> Column:
-    return F.translate(text, "aeopcxyAEOPCXBHKMT", "аеорсхуАЕОРСХВНКМТ")
+    return F.translate(text, SPOOFED, SPOOFS)
 
 
 def to_zero_width(text: Column) -> Column:
@@ -133,9 +159,18 @@ def to_zero_width(text: Column) -> Column:
 
 
 def to_base64(text: Column) -> Column:
-    return plain_base64(F.encode(text, "UTF-8"))
+    return F.concat(F.lit(LEAD_IN), plain_base64(F.encode(text, "UTF-8")))
+
+
+def to_all(text: Column) -> Column:
+    """Look-alikes, then base64."""
+    return to_base64(to_homoglyphs(text))
+
+
+OBFUSCATIONS = {"homoglyph": to_homoglyphs, "zero-width": to_zero_width, "base64": to_base64, "all": to_all}
 
 
 def obfuscate(labelled: DataFrame, how) -> DataFrame:
-    """Rewrites malicious rows (label true) alone."""
-    return labelled.withColumn("text", F.when(F.col("label"), how(F.col("text"))).otherwise(F.col("text")))
+    """Rewrites malicious rows (label true) alone; how: a function, or a name of OBFUSCATIONS."""
+    change = OBFUSCATIONS[how] if isinstance(how, str) else how
+    return labelled.withColumn("text", F.when(F.col("label"), change(F.col("text"))).otherwise(F.col("text")))

@@ -3,6 +3,7 @@ of the Spark expressions."""
 
 from __future__ import annotations
 
+from guardlake.operators import actions
 from guardlake.operators.detect import DELIMITERS, ENTROPY_GATE, IMPERATIVES, INJECTION_RULES, LONG_BASE64, OUTPUT_RULES, PII_RULES, SECRET_RULES, Rule
 from guardlake.plans.policy import Policy
 from guardlake.schema import SEVERITIES, WEIGHTS
@@ -115,3 +116,48 @@ def by_detector() -> str:
 
 def by_owasp() -> str:
     return _counts(lambda d: OWASP[d.split(".")[0]])
+
+
+def any_of(text: str, patterns: tuple[str, ...]) -> str:
+    return f"regexp_matches({text}, {quote('(?i)' + '|'.join(patterns))})"
+
+
+def action_class(text: str, base: str = "0") -> str:
+    """Ordinal of a call's class; base: that of its tool."""
+    acting = f"greatest({base}, case when {any_of(text, actions.WRITE)} then 1 else 0 end, case when {any_of(text, actions.NETWORK)} then 2 else 0 end)"
+    raised = f"case when {any_of(text, actions.PRIVILEGE)} or ({acting} >= 1 and {any_of(text, actions.SENSITIVE)}) then 3 else 0 end"
+    return f"greatest({acting}, {raised}, case when {any_of(text, actions.DESTRUCTIVE)} then 4 else 0 end)"
+
+
+def unlisted(host: str, allowed: tuple[str, ...]) -> str:
+    names = [a.strip().rstrip(".").lower() for a in allowed]
+    return f"({host} <> '' and not ({' or '.join(f'{host} = {quote(a)} or {host} like {quote(chr(37) + chr(46) + a)}' for a in names)}))"
+
+
+def agent_decision(policy: Policy, field: str) -> str:
+    """CASE of an agent policy over `found` with kind, origin (of the taint, null without), cls, unlisted and sensitive.
+    Rules that ask for subagents or manifests match no row here."""
+    facet = {"tool_args": "tool_call", "tool_result": "tool_result"}
+    origins = {"network": "network", "mcp": "mcp_server", "subagent": "subagent"}
+    out = []
+    for r in policy.rules:
+        w, tests = r.when, []
+        if w.keys() & {"subagent_escalation", "mcp_manifest_changed", "mcp_tool_shadow"} or w.get("facet") == "tool_description":
+            continue
+        if "detector" in w:
+            tests.append(has(w["detector"], w.get("min_severity", "info")))
+        if "facet" in w:
+            tests.append(f"kind = '{facet[w['facet']]}'")
+        if "taint" in w:
+            tests.append(f"origin in ({', '.join(quote(origins[t]) for t in w['taint'])})")
+        if "action_class" in w:
+            tests.append(f"cls = {actions.ACTION_CLASSES.index(w['action_class'])}")
+        if "min_action_class" in w:
+            tests.append(f"cls >= {actions.ACTION_CLASSES.index(w['min_action_class'])}")
+        if w.get("egress_not_allowlisted"):
+            tests.append("unlisted")
+        if "touches_sensitive_path" in w:
+            tests.append(f"sensitive = {str(w['touches_sensitive_path']).lower()}")
+        value = {"action": r.action, "name": r.name, "fallback": r.fallback}[field]
+        out.append(f"when {' and '.join(f'coalesce({t}, false)' for t in tests) or 'true'} then {quote(value) if value else 'null'}")
+    return f"case {' '.join(out)} else {quote(policy.default) if field == 'action' else 'null'} end"

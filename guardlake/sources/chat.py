@@ -5,8 +5,9 @@ Input rows have `request` (an id) and `body` (JSON text). What is not JSON gives
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OPENAI = "model string, stream boolean, messages array<struct<role:string,content:string,tool_call_id:string>>"
 _CALLS = "choices array<struct<message:struct<content:string,tool_calls:array<struct<function:struct<name:string,arguments:string>>>>>>"
@@ -78,14 +79,19 @@ def anthropic_reply_text(replies: DataFrame) -> DataFrame:
     return replies.select("request", F.array_join(F.transform(text, lambda b: b["text"]), "\n").alias("text"))
 
 
+def _placed(rows: DataFrame) -> Column:
+    """pos, a number or (m, b), as (m, b) numbers that compare as such."""
+    if isinstance(rows.schema["pos"].dataType, StructType):
+        return F.struct(F.col("pos.m").cast("long").alias("m"), F.col("pos.b").cast("long").alias("b"))
+    return F.struct(F.col("pos").cast("long").alias("m"), F.lit(0).cast("long").alias("b"))
+
+
 def cycle_events(results: DataFrame, calls: DataFrame) -> DataFrame:
     """One request-and-reply cycle as a session of its own: results first, from an untrusted server, then calls."""
     none = F.lit(None).cast("string")
     source = F.struct(F.lit("mcp_server").alias("origin"), none.alias("host"), F.lit("api-tool").alias("name"))
-    a = results.select(F.col("request").alias("session"), F.struct(F.lit(0).alias("k"), F.to_json(F.struct("pos")).alias("p")).alias("o"), F.lit("tool_result").alias("kind"), F.lit("api-tool").alias("tool"), none.alias("args"), "content", source.alias("source"))
-    b = calls.select(F.col("request").alias("session"), F.struct(F.lit(1).alias("k"), F.to_json(F.struct("pos")).alias("p")).alias("o"), F.lit("tool_call").alias("kind"), "tool", "args", none.alias("content"), F.lit(None).cast("struct<origin:string,host:string,name:string>").alias("source"))
-    from pyspark.sql import Window
-
+    a = results.select(F.col("request").alias("session"), F.struct(F.lit(0).alias("k"), _placed(results).alias("p")).alias("o"), F.lit("tool_result").alias("kind"), F.lit("api-tool").alias("tool"), none.alias("args"), "content", source.alias("source"))
+    b = calls.select(F.col("request").alias("session"), F.struct(F.lit(1).alias("k"), _placed(calls).alias("p")).alias("o"), F.lit("tool_call").alias("kind"), "tool", "args", none.alias("content"), F.lit(None).cast("struct<origin:string,host:string,name:string>").alias("source"))
     seq = F.row_number().over(Window.partitionBy("session").orderBy("o")).cast("bigint")
     empty = {"parent": none, "name": none, "instructions": none, "granted_tools": F.lit(None).cast("array<string>"), "server": none, "tools": F.lit(None).cast("array<struct<name:string,description:string,schema:string>>")}
     return a.unionByName(b).withColumn("seq", seq).drop("o").withColumns({"agent": F.lit("main"), "at_ms": F.lit(0).cast("bigint")} | empty)
