@@ -71,6 +71,8 @@ def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator
     now = re.fullmatch(r"(\d+)b?", conf.get(key, None) or "")
     if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
+    if any("." in c or "`" in c for c in df.columns):  # mapInArrow looks columns up by name; functions go by place
+        df = df.toDF(*free_names(df, *[f"c{i}" for i in range(len(df.columns))]))
     return df.mapInArrow(rows, schema)
 
 

@@ -250,14 +250,15 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
     """The documents, all columns, in which no item is found."""
     at = docs.columns.index("text")
     for rows, weights in item_blocks(benchmark):
-        docs = map_arrow(docs, _clean_rows(rows, weights, threshold, at), docs.schema)
+        docs = map_arrow(docs, _clean_rows(rows, weights, threshold, at, docs.columns), docs.schema)
     return docs
 
 
-def _clean_rows(rows: list[tuple], weights: dict[int, float] | None, threshold: float, at: int):
+def _clean_rows(rows: list[tuple], weights: dict[int, float] | None, threshold: float, at: int, names: list[str]):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(rows, weights)
         for b in batches:
-            yield b.filter(pa.array([not hits for hits in document_hits(items, b.column(at).to_pylist(), threshold)], pa.bool_()))
+            clean = b.filter(pa.array([not hits for hits in document_hits(items, b.column(at).to_pylist(), threshold)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(clean.columns, names)
 
     return clean

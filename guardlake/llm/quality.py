@@ -161,14 +161,14 @@ def gumbel(doc_id: int | None, text: str | None) -> float:
     return -math.log(-math.log(((h >> 11) + 0.5) / (1 << 53)))
 
 
-def _score_rows(model: Model, id_at: int, text_at: int):
+def _score_rows(model: Model, id_at: int, text_at: int, names: list[str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(id_at).to_pylist(), b.column(text_at).to_pylist()
             found = [model.log_ratios(t) for t in texts]
             keys = [r + gumbel(d, t) for d, t, (r, _) in zip(ids, texts, found, strict=True)]
             columns = [pa.array([f[0] for f in found], pa.float64()), pa.array(keys, pa.float64()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [str(i) for i in range(b.num_columns + 3)])
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names)
 
     return rows
 
@@ -177,7 +177,7 @@ def _scored(docs: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
     """The rows with log_ratio, sample_key and unwanted, stored, so scored once; and the names of the three."""
     names = free_names(docs, "log_ratio", "sample_key", "unwanted")
     types = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{n} double" for n in names)])
-    return stored(map_arrow(docs, _score_rows(model, docs.columns.index("doc_id"), docs.columns.index("text")), types), "scores"), names
+    return stored(map_arrow(docs, _score_rows(model, docs.columns.index("doc_id"), docs.columns.index("text"), [*docs.columns, *names]), types), "scores"), names
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> float:
