@@ -18,7 +18,7 @@ from guardlake.operators.score import mask, risk_score
 from guardlake.operators.taint import with_epochs
 from guardlake.plans.policy import shipped
 from guardlake.schema import ACTION_CLASSES
-from guardlake.sources.shared import shared_folder
+from guardlake.sources.shared import shared_folder, stored
 from guardlake.streaming.sessions import stream_tail_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -310,9 +310,14 @@ def provenance_trust(spark, sf_dir):
 
 @register("fingerprint_overlap_benchmark")
 def fingerprint_overlap_benchmark(spark, sf_dir):
-    """(doc_id, item_id, hits) with three common fingerprints or more: an equi-join on the fingerprint."""
+    """(doc_id, item_id, hits) with three common fingerprints or more: an equi-join on the fingerprint.
+
+    The items' fingerprints are a table of their own; up to a million (counted first) are broadcast, so that those of
+    documents are never shuffled.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(fp.fingerprints(F.col("text"))).alias("key"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(fp.fingerprints(F.col("text"))).alias("key"))
+    items = stored(table(spark, sf_dir, "benchmark").select("item_id", F.explode(fp.fingerprints(F.col("text"))).alias("key")), "items")
+    items = F.broadcast(items) if items.count() <= 1_000_000 else items
     return docs.join(items, "key").groupBy("doc_id", "item_id").agg(F.count("*").alias("hits")).where(F.col("hits") >= fp.MIN_HITS)
 
 
