@@ -88,27 +88,47 @@ SECRET_RULES = (
 )
 # What the heuristics count.
 IMPERATIVES = r"(?i)\b(?:ignore|disregard|override|bypass|forget|reveal|pretend|act\s+as)\b"
+#: The start of a run of 24 token characters; looking back keeps the search from starting anew at each of them.
+TOKEN_RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}"
 IMPERATIVE_STEMS = ("ignore", "disregard", "override", "bypass", "forget", "reveal", "pretend", "act")
 LONG_BASE64 = r"[A-Za-z0-9+/]{40,}={0,2}"
 DELIMITERS = ("```", "###", "---", "<|")
 
 
 #: Letters that ignoring case takes for ASCII ones although lower() does not.
-_CASE_TWINS = ("ſıİK", "siik")
+_CASE_TWINS = {"ſ": "s", "ı": "i", "İ": "i", "K": "k"}
 
 
 def folded(text: Column) -> Column:
     """Lower case, so that a literal is in it wherever a pattern that ignores case has it."""
-    return F.lower(F.translate(text, *_CASE_TWINS))
+    plain = reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), _CASE_TWINS.items(), text)
+    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(plain))
 
 
-def may_match(rule: Rule, text: Column) -> Column:
+@dataclass(frozen=True)
+class View:
+    """A text and what several rules ask of it, taken once: its folded form, whether it has a digit, and whether it has a
+    run of 24 token characters."""
+
+    text: Column
+    low: Column
+    digit: Column
+    run: Column
+
+    @staticmethod
+    def fields(text: Column) -> Column:
+        return F.struct(text.alias("text"), folded(text).alias("low"), text.rlike(r"(?U)\d").alias("digit"), text.rlike(TOKEN_RUN).alias("run"))
+
+    @staticmethod
+    def of(struct: Column) -> View:
+        return View(struct["text"], struct["low"], struct["digit"], struct["run"])
+
+
+def may_match(rule: Rule, view: View) -> Column:
     """Whether the text has what every match of the rule has: plain substring searches, far cheaper than the pattern."""
-    where = folded(text) if rule.pattern.startswith("(?i)") else text
-    groups = [reduce(Column.__or__, [F.contains(where, F.lit(x)) for x in group]) for group in rule.needs]
-    if rule.digits:
-        groups.append(text.rlike(r"(?U)\d"))
-    return all_of(groups)
+    where = view.low if rule.pattern.startswith("(?i)") else view.text
+    groups = [view.digit] if rule.digits else [view.run] if rule.gate == "entropy" else []
+    return all_of([*groups, *[reduce(Column.__or__, [F.contains(where, F.lit(x)) for x in group]) for group in rule.needs]])
 
 
 def java_pattern(pattern: str) -> str:
@@ -131,8 +151,8 @@ class RuleDetector:
     name: str
     rules: tuple[Rule, ...]
 
-    def _of(self, rule: Rule, text: Column, direction: Column) -> Column:
-        spans = F.when(may_match(rule, text), find_spans(text, java_pattern(rule.pattern))).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def _of(self, rule: Rule, view: View, direction: Column) -> Column:
+        spans = F.when(may_match(rule, view), find_spans(view.text, java_pattern(rule.pattern))).otherwise(F.array().cast(f"array<{SPAN}>"))
         if rule.gate == "luhn":
             spans = F.filter(spans, lambda s: luhn_valid(s["match"]))
         elif rule.gate == "entropy":
@@ -145,12 +165,16 @@ class RuleDetector:
             found = F.when(direction == "output", found).otherwise(F.array().cast(NO_FINDINGS))
         return F.coalesce(found, F.array().cast(NO_FINDINGS))
 
+    def seen(self, view: View, direction: Column) -> Column:
+        return F.concat(*[self._of(r, view, direction) for r in self.rules])
+
     def findings(self, text: Column, direction: Column) -> Column:
-        return F.concat(*[self._of(r, text, direction) for r in self.rules])
+        return let(View.fields(text), lambda v: self.seen(View.of(v), direction))
 
 
-def heuristic_score(text: Column) -> Column:
+def heuristic_score(view: View) -> Column:
     """0 to 1, in single precision: imperatives, a long base64 run, smuggling delimiters."""
+    text = view.text
 
     def times(weight: float, n: Column) -> Column:
         return F.lit(weight).cast("float") * F.least(n, F.lit(3)).cast("float")
@@ -160,8 +184,8 @@ def heuristic_score(text: Column) -> Column:
         return F.when(F.contains(text, F.lit(mark)), n).otherwise(0)
 
     marks = sum((count(m) for m in DELIMITERS[1:]), count(DELIMITERS[0]))
-    run = F.when(text.rlike(LONG_BASE64), F.lit(0.3).cast("float")).otherwise(F.lit(0).cast("float"))
-    orders = reduce(Column.__or__, [F.contains(folded(text), F.lit(x)) for x in IMPERATIVE_STEMS])
+    run = F.when(view.run & text.rlike(LONG_BASE64), F.lit(0.3).cast("float")).otherwise(F.lit(0).cast("float"))
+    orders = reduce(Column.__or__, [F.contains(view.low, F.lit(x)) for x in IMPERATIVE_STEMS])
     said = F.when(orders, F.regexp_count(text, F.lit(java_pattern(IMPERATIVES)))).otherwise(0)
     total = (times(0.3, said) + run).cast("float") + times(0.1, marks)
     return F.least(total.cast("float"), F.lit(1.0).cast("float"))
@@ -174,6 +198,9 @@ class HeuristicDetector:
     name: str = "injection"
 
     def findings(self, text: Column, direction: Column) -> Column:
+        return let(View.fields(text), lambda v: self.seen(View.of(v), direction))
+
+    def seen(self, view: View, direction: Column) -> Column:
         floor, medium, high = (F.lit(x).cast("float") for x in (0.3, 0.5, 0.75))
 
         def of(score: Column) -> Column:
@@ -182,7 +209,7 @@ class HeuristicDetector:
             none = F.lit(None)
             return F.when(score >= floor, F.array(_finding("injection", level, score, none, none, label))).otherwise(F.array().cast(NO_FINDINGS))
 
-        return F.coalesce(let(heuristic_score(text), of), F.array().cast(NO_FINDINGS))
+        return F.coalesce(let(heuristic_score(view), of), F.array().cast(NO_FINDINGS))
 
 
 INJECTION = RuleDetector("injection", INJECTION_RULES)
@@ -196,8 +223,12 @@ DEFAULT: tuple[Detector, ...] = (INJECTION, HEURISTICS, PII, SECRET, OUTPUT)
 
 def detect(text: Column, direction: Column, detectors: tuple[Detector, ...] = DEFAULT) -> Column:
     """Findings of all detectors, in order; a null text has none."""
-    text = F.coalesce(text, F.lit(""))
-    return F.concat(*[d.findings(text, direction) for d in detectors])
+
+    def every(struct: Column) -> Column:
+        view = View.of(struct)
+        return F.concat(*[d.seen(view, direction) if hasattr(d, "seen") else d.findings(view.text, direction) for d in detectors])
+
+    return let(View.fields(F.coalesce(text, F.lit(""))), every)
 
 
 Score = Callable[[list[str]], list[dict[str, float]]]
