@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guardlake.functions.text import owasp, plain_base64
+from guardlake.sources.shared import stored
 
 # The public OWASP list for LLM applications, 2025.
 OWASP_TOP10 = (
@@ -31,17 +32,28 @@ def rates(counts: DataFrame) -> DataFrame:
     return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).withColumn("accuracy", ratio(tp + tn, tp + fp + tn + fn))
 
 
-def percentiles(df: DataFrame, value: str, at: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
-    """Values at given 0-based ranks; `at` maps names to expressions over `n`, the number of values.
+def percentiles(df: DataFrame, value: str, at: dict[str, Column], by: tuple[str, ...] = (), mean: bool = False) -> DataFrame:
+    """Values at given 0-based ranks; `at` maps names to expressions over `n`, the number of values. mean: their mean too.
 
     Counts come from distinct values, so the rank is found over a table of value and count, however often a value
-    occurs.
+    occurs. Without keys the values are ranged over partitions, whose sums (one for each) come to the driver first, so
+    that no task ranks all of them.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*by).orderBy(value)
-    whole = Window.partitionBy(*by)
-    ranked = counts.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(whole))
+    if by:
+        ranked = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy(value))).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    else:
+        counts = stored(counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()), "counts")
+        bases, total = [], 0
+        for part, n in sorted(tuple(r) for r in counts.groupBy("part").agg(F.sum("c")).collect()):
+            bases.append((part, total))
+            total += n
+        before = F.broadcast(df.sparkSession.createDataFrame(bases, "part int, before long"))
+        upto = F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy(value))
+        ranked = counts.join(before, "part").withColumn("upto", upto).withColumn("n", F.lit(total))
     aggs = [F.min(F.when(F.col("upto") > rank, F.col(value))).alias(name) for name, rank in at.items()]
+    if mean:
+        aggs.append(F.try_divide(F.sum(F.col(value) * F.col("c")), F.sum("c")).alias("mean"))
     return ranked.groupBy(*by).agg(*aggs)
 
 
@@ -110,8 +122,7 @@ def mistakes(sessions: DataFrame) -> DataFrame:
 
 def latency_stats(df: DataFrame, value: str) -> DataFrame:
     """p50, p99 (nearest rank) and mean of a latency."""
-    at = {"p50": nearest_rank(0.5), "p99": nearest_rank(0.99)}
-    return percentiles(df, value, at).crossJoin(df.agg(F.avg(value).alias("mean")))
+    return percentiles(df, value, {"p50": nearest_rank(0.5), "p99": nearest_rank(0.99)}, mean=True)
 
 
 def judge_confusion(answers: DataFrame) -> DataFrame:
