@@ -94,11 +94,16 @@ def manifest_diff(old: Column, new: Column) -> Column:
     return F.when(F.size(parts) == 0, "no change").otherwise(F.array_join(parts, " "))
 
 
-def manifest_drift(handshakes: DataFrame) -> DataFrame:
-    """Adds hash and drifted to rows (server, hs_seq, tools): the last pin differs. A first sight is no drift."""
+def manifest_drift(handshakes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Adds hash and drifted to rows (server, hs_seq, tools): the last pin differs. A first sight is no drift, unless
+    `known` (server, hash), the pins of an earlier run, says otherwise."""
     order = Window.partitionBy("server").orderBy("hs_seq")
     hashed = handshakes.withColumn("hash", manifest_hash(F.col("tools")))
-    return hashed.withColumn("drifted", F.coalesce(F.lag("hash").over(order) != F.col("hash"), F.lit(False)))
+    last = F.lag("hash").over(order)
+    if known is None:
+        return hashed.withColumn("drifted", F.coalesce(last != F.col("hash"), F.lit(False)))
+    pinned = hashed.join(known.select("server", F.col("hash").alias("pinned_")), "server", "left")
+    return pinned.withColumn("drifted", F.coalesce(F.coalesce(last, "pinned_") != F.col("hash"), F.lit(False))).drop("pinned_")
 
 
 def tool_shadow(handshakes: DataFrame) -> DataFrame:

@@ -64,6 +64,16 @@ def pins(handshakes: DataFrame) -> DataFrame:
     return last.withColumn("file", F.regexp_replace("server", "[^A-Za-z0-9_-]", "_"))
 
 
+def save_pins(pinned: DataFrame, path: str) -> None:
+    """Append pins (server, hash, hs_seq, ...) to a store: a table in which the last row of a server counts."""
+    pinned.select("server", "hash", "hs_seq").write.mode("append").parquet(path)
+
+
+def load_pins(spark: SparkSession, path: str) -> DataFrame:
+    """(server, hash, hs_seq, file) of a store: the last pin of each server."""
+    return pins(spark.read.schema("server string, hash string, hs_seq bigint").parquet(path))
+
+
 def write_audit(rows: DataFrame, path: str) -> None:
     """Append audit rows as JSON lines."""
     rows.write.mode("append").json(path)

@@ -212,3 +212,17 @@ def test_every_rule_passes_its_prefilter(spark):
     found = F.array_distinct(F.transform(detect(F.col("text"), F.lit("output"), DEFAULT), lambda f: f["detector"]))
     for row in df.select("text", hit.alias("hit"), found.alias("found")).collect():
         assert row.found and set(row.hit) <= set(row.found), row
+
+
+def test_pins_outlive_a_run(spark, tmp_path):
+    def shakes(*rows):
+        df = spark.createDataFrame([(s, q, d) for s, q, d in rows], "server string, hs_seq bigint, d string")
+        return df.select("server", "hs_seq", F.array(F.struct(F.lit("t").alias("name"), F.col("d").alias("description"), F.lit("{}").alias("schema"))).alias("tools"))
+
+    path = str(tmp_path / "pins")
+    for rows in ((("a/b", 1, "one"), ("a/b", 2, "two"), ("c", 3, "one")), (("a/b", 4, "three"),)):
+        logs.save_pins(logs.pins(agent.manifest_drift(shakes(*rows))), path)
+    pins = logs.load_pins(spark, path)
+    assert {(x.server, x.hs_seq, x.file) for x in pins.collect()} == {("a/b", 4, "a_b"), ("c", 3, "c")}
+    later = agent.manifest_drift(shakes(("a/b", 5, "three"), ("c", 6, "two"), ("c", 7, "two"), ("d", 8, "one")), pins)
+    assert {x.hs_seq: x.drifted for x in later.collect()} == {5: False, 6: True, 7: False, 8: False}
