@@ -113,11 +113,10 @@ def detection_by_category(sessions: DataFrame) -> DataFrame:
 
 
 def mistakes(sessions: DataFrame) -> DataFrame:
-    """Sorted ids of benign sessions flagged and attacks missed."""
-    return sessions.agg(
-        F.array_sort(F.collect_list(F.when(F.col("flagged") & (F.col("label") == "benign"), F.col("session")))).alias("false_alarms"),
-        F.array_sort(F.collect_list(F.when(~F.col("flagged") & (F.col("label") == "attack"), F.col("session")))).alias("misses"),
-    )
+    """(kind, session): benign sessions flagged (`false_alarm`) and attacks missed (`miss`), a row each; sorted by both
+    when written out, so no task gathers all ids."""
+    wrong = F.when(F.col("flagged") & (F.col("label") == "benign"), "false_alarm").when(~F.col("flagged") & (F.col("label") == "attack"), "miss")
+    return sessions.select(wrong.alias("kind"), "session").where("kind is not null").orderBy("kind", "session")
 
 
 def latency_stats(df: DataFrame, value: str) -> DataFrame:

@@ -226,3 +226,9 @@ def test_pins_outlive_a_run(spark, tmp_path):
     assert {(x.server, x.hs_seq, x.file) for x in pins.collect()} == {("a/b", 4, "a_b"), ("c", 3, "c")}
     later = agent.manifest_drift(shakes(("a/b", 5, "three"), ("c", 6, "two"), ("c", 7, "two"), ("d", 8, "one")), pins)
     assert {x.hs_seq: x.drifted for x in later.collect()} == {5: False, 6: True, 7: False, 8: False}
+
+
+def test_mistakes_are_rows_in_order(spark):
+    rows = [("b2", "benign", True), ("b1", "benign", True), ("b3", "benign", False), ("a1", "attack", False), ("a2", "attack", True), ("x", None, True), ("y", "attack", None)]
+    out = evaluate.mistakes(spark.createDataFrame(rows, "session string, label string, flagged boolean"))
+    assert [tuple(x) for x in out.collect()] == [("false_alarm", "b1"), ("false_alarm", "b2"), ("miss", "a1")]
