@@ -143,21 +143,19 @@ def read_audio(data: bytes) -> Audio:
     out = Audio()
     at, out.tags = _id3v2(data)
     end = len(data)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        out.tags.setdefault("TIT2", data[end + 3 : end + 33].split(b"\0")[0].decode("latin-1"))
+    id3v1 = end - 128 if end >= 128 and data[end - 128 : end - 125] == b"TAG" else end  # unless these bytes lie in a frame
     main, synced, first = [], True, True
-    while at + 4 <= end:
+    while at + 4 <= end and at != id3v1:
         h = parse_header(data[at : at + 4])
         ok = h is not None and at + h.length <= end
-        if ok and not synced:  # regained only where another header or the end follows
+        if ok and (not synced or at < id3v1 < at + h.length):  # only where another header or the end follows
             after = at + h.length
-            ok = after == end or parse_header(data[after : after + 4]) is not None
+            ok = after in (id3v1, end) or parse_header(data[after : after + 4]) is not None
         if not ok:
             if synced:
                 out.resyncs += 1
                 synced = False
-            at = data.find(b"\xff", at + 1, end)
+            at = data.find(b"\xff", at + 1, id3v1)
             if at < 0:
                 break
             continue
@@ -182,6 +180,8 @@ def read_audio(data: bytes) -> Audio:
         out.seconds += h.samples / h.rate
         main.append(frame[body + h.side :])
         at += h.length
+    if at <= id3v1 < end:
+        out.tags.setdefault("TIT2", data[id3v1 + 3 : id3v1 + 33].split(b"\0")[0].decode("latin-1"))
     out.main = b"".join(main)
     return out
 
@@ -268,7 +268,7 @@ def digests(parsed: DataFrame) -> DataFrame:
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("right(payload, 64)")).alias("tail_crc32"),
+        F.crc32(F.expr("substring(payload, greatest(octet_length(payload) - 63, 1), 64)")).alias("tail_crc32"),  # right() counts characters
         "media_bytes",
         "media_sha256",
         "feature",

@@ -685,6 +685,27 @@ def test_media_round_trip(spark, odd):
     assert media.parse_audio(spark.createDataFrame([(1, None), (2, bytearray(b"nothing"))], "doc_id long, media binary")).orderBy("doc_id").collect()[1].frames == 0
 
 
+def test_media_round_trip_of_letters_of_several_bytes_and_tag_like_texts(spark):
+    texts = ["é" * 100, "x" * 70 + "日本 🙂" * 20, "é" * 32, "ÿ" * 1000, *["a" * n + "TAG and more of it" for n in range(700, 1000, 3)], "TAG" * 300, "TAG" * 313]
+    for x in media.digests(media.parse_audio(media.encode_texts(docs(spark, texts)))).collect():
+        raw = texts[x.doc_id].encode()
+        payload = raw + bytes(-len(raw) % 64)
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+
+
+def test_tag_like_bytes_of_a_frame_are_no_tag():
+    for n in range(700, 1000):
+        payload = (b"a" * n + b"TAG").ljust(1024, b"b")
+        whole = media.write_audio(payload, len(payload))
+        a = media.read_audio(whole)
+        assert a.main[:1024] == payload and a.resyncs == 0 and "TIT2" not in a.tags
+        b = media.read_audio(whole + b"TAG" + b"My title".ljust(125, b"\0"))
+        assert b.tags["TIT2"] == "My title" and b.main == a.main
+    cut = media.read_audio(whole[:-30] + b"TAG" + b"My title".ljust(125, b"\0"))
+    assert cut.tags["TIT2"] == "My title" and cut.resyncs == 1 and len(cut.offsets) == len(a.offsets) - 1
+    assert media.read_audio(b"TAG" + b"Alone".ljust(125, b"\0")).tags == {"TIT2": "Alone"}
+
+
 def test_resync_crc_and_durations():
     payload = bytes(range(1, 250)) * 20
     whole = media.write_audio(payload, len(payload))
