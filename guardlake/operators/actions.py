@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,20 +74,49 @@ SENSITIVE = (r"/\.ssh/", r"/\.aws/", r"/\.gnupg/", r"/etc/(?:passwd|shadow|sudoe
 READ_ONLY_TOOLS = ("Read", "Grep", "Glob", "NotebookRead", "TodoRead", "WebFetch", "WebSearch", "Bash")
 
 
-def _any(text: Column, patterns: tuple[str, ...]) -> Column:
-    return text.rlike("(?iUd)" + "|".join(patterns))
+# What RE2 takes for boundaries and classes when it ignores case: ASCII alone, and the two letters that fold to ASCII ones.
+_TWINS = {"s": r"\u017f", "k": r"\u212a"}
+_RE2 = {
+    r"\b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", r"\s": r"[\t\n\f\r ]", r"\S": r"[^\t\n\f\r ]",
+    r"\w": rf"[\w{''.join(_TWINS.values())}]", **{c: f"[{c}{twin}]" for c, twin in _TWINS.items()},
+}
 
 
-def touches_sensitive_path(text: Column) -> Column:
-    return _any(text, SENSITIVE)
+def re2_pattern(pattern: str) -> str:
+    """What RE2, and so the SQL, matches by the pattern when it ignores case, for Java without its U flag."""
 
+    def of(token: re.Match) -> str:
+        t = token[0]
+        if t[0] == "[" and t[1] != "^":
+            return t[:-1] + "".join(twin for c, twin in _TWINS.items() if re.fullmatch(t, c, re.I)) + "]"
+        return _RE2.get(t if t[0] == "\\" else t.lower(), t)
 
-def action_class(tool: Column, text: Column) -> Column:
-    """Ordinal of the most severe class that matches. A sensitive path counts only for a call that acts."""
+    return re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]|[ks]", of, pattern, flags=re.I)
+
+
+def _any(text: Column, patterns: tuple[str, ...], re2: bool = False) -> Column:
+    # Flags before the one with an r or f have neither: the same matches, but Java goes no deeper with each flag.
+    pattern = "|".join(patterns).replace(r"(?:-[a-z]*\s+)*-", r"(?:-[a-eg-qs-z]*\s+)*+-")
+    if not re2:
+        return text.rlike("(?iUd)" + pattern)
+    # All but ASCII and the two letters are alike to RE2: neither word nor space. So is a vertical tab, a space to Java.
+    plain = F.regexp_replace(text, r"[^\x00-\x0A\x0C-\x7F]", "\x01")
+    return F.when(text.rlike(f"[{''.join(_TWINS.values())}]"), text.rlike("(?id)" + re2_pattern(pattern))).otherwise(plain.rlike("(?id)" + pattern))
+
+
+def touches_sensitive_path(text: Column, re2: bool = False) -> Column:
+    return _any(text, SENSITIVE, re2)
+
+
+def action_class(tool: Column, text: Column, re2: bool = False) -> Column:
+    """Ordinal of the most severe class that matches. A sensitive path counts only for a call that acts.
+
+    re2: boundaries, white space and case as in RE2, the SQL's engine: in "sudoñ" it finds the word "sudo", which Unicode rules do not.
+    """
     base = F.when(tool.isin(*READ_ONLY_TOOLS), 0).otherwise(1)
-    acting = F.greatest(base, F.when(_any(text, WRITE), 1).otherwise(0), F.when(_any(text, NETWORK), 2).otherwise(0))
-    raised = F.when(_any(text, PRIVILEGE) | ((acting >= 1) & touches_sensitive_path(text)), 3).otherwise(0)
-    return F.greatest(acting, raised, F.when(_any(text, DESTRUCTIVE), 4).otherwise(0)).cast("tinyint")
+    acting = F.greatest(base, F.when(_any(text, WRITE, re2), 1).otherwise(0), F.when(_any(text, NETWORK, re2), 2).otherwise(0))
+    raised = F.when(_any(text, PRIVILEGE, re2) | ((acting >= 1) & touches_sensitive_path(text, re2)), 3).otherwise(0)
+    return F.greatest(acting, raised, F.when(_any(text, DESTRUCTIVE, re2), 4).otherwise(0)).cast("tinyint")
 
 
 def action_name(ordinal: Column) -> Column:
